@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, secrets, tokens
+from lectern.llm import decontamination, mixing, secrets, simhash, tokens
 from lectern.llm.common import table
 
 QUERIES = {
+    "op2_simhash_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secrets.scan_documents(table(spark, d, "documents")),
+    "op5_decontamination": lambda spark, d: decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_source_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("placements"),
     "op8_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
 }
