@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontamination, mixing, secrets, simhash, tokens
+from pyspark.sql import functions as F
+
+from lectern.llm import ann, decontamination, langid, mixing, secrets, simhash, tokens, toxicity
 from lectern.llm.common import table
 
 QUERIES = {
+    "op1_ann_learned_partitions": lambda spark, d: ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0),
     "op2_simhash_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
+    "op3_toxicity": lambda spark, d: toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_secret_scan": lambda spark, d: secrets.scan_documents(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_source_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("placements"),
+    "op7_language_id": lambda spark, d: langid.identified(table(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {}
