@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontamination, langid, mixing, secrets, simhash, tokens, toxicity
+from lectern.llm import ann, decontamination, langid, lines, mixing, passages, secrets, simhash, tokens, toxicity
 from lectern.llm.common import table
 
 QUERIES = {
@@ -16,5 +17,8 @@ QUERIES = {
     "op6_source_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("placements"),
     "op7_language_id": lambda spark, d: langid.identified(table(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
+    "op9_repeated_passages": lambda spark, d: passages.repeated_passages(table(spark, d, "documents")),
+    "op10_fuzzy_lines": lambda spark, d: lines.report(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}
