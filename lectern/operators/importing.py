@@ -5,30 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.codes import is_code
+from lectern.functions.codes import is_code, normalize_code
+from lectern.functions.credits import MAX_POINTS, points_value
 
 #: Fixed value: score from which an import without issues is published.
 PUBLISH = 80
 
 
-def import_quality(code: Column, title: Column, description: Column, points: Column, sections: Column, prerequisites: Column) -> Column:
-    """100 less 40, 30, 10, 15, 10 and 20 for a missing code, title, description, points, sections and prerequisites, at least 0."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    lost = [(~is_code(code), 40), (blank(title), 30), (blank(description), 10), (points.isNull(), 15), (F.coalesce(sections, F.lit(0)) == 0, 10), (blank(prerequisites), 20)]
-    score = F.lit(100)
-    for test, n in lost:
-        score = score - F.when(test, n).otherwise(0)
-    return F.greatest(F.lit(0), score)
-
-
-def hard_error(code: Column, title: Column) -> Column:
-    """What keeps an import from being stored at all, null if nothing does."""
-    return F.when(~is_code(code), "invalid_course_code").when(F.trim(F.coalesce(title, F.lit(""))) == "", "missing_title")
+def import_issues(code: Column, title: Column, description: Column, points_raw: Column, points_min: Column, known: list[str]) -> Column:
+    """Struct (score, issues): what an import lacks and 100 less its price, at least 0.
 
-
-def gate(error: Column, score: Column, issues: Column) -> Column:
+    ``known`` are the department prefixes in use.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    canonical = normalize_code(code)
+    size = F.length(text(title))
+    prefix = F.split_part(F.coalesce(canonical, F.lit("")), F.lit(" "), F.lit(1))
+    # Prices of what is missing.
+    checks = [
+        (canonical.isNull(), 40, F.lit("invalid_course_code")),
+        (size < 3, 30, F.lit("title_too_short")),
+        ((size >= 3) & (size < 8), 10, F.lit("title_suspiciously_short")),
+        ((F.coalesce(points_min, F.lit(0.0)) <= 0) & (text(points_raw) == ""), 15, F.lit("missing_points")),
+        (text(description) == "", 10, F.lit("missing_description")),
+        ((prefix != "") & ~prefix.isin(*known), 20, F.concat(F.lit("unknown_department:"), prefix)),
+    ]
+    score = F.lit(100)
+    for test, price, _ in checks:
+        score = score - F.when(test, price).otherwise(0)
+    return F.struct(F.greatest(F.lit(0), score).alias("score"), F.array_compact(F.array(*(F.when(t, name) for t, _, name in checks))).alias("issues"))
+
+
+def hard_errors(code: Column, title: Column, points_raw: Column, points_min: Column, points_max: Column) -> Column:
+    """What keeps an import from being stored at all."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    raw = points_value(points_raw)
+    beyond = lambda c: (c < 0) | (c > MAX_POINTS)
+    checks = [
+        (text(code) == "", "missing_course_code"), ((text(code) != "") & ~is_code(code), "invalid_course_code"),
+        (text(title) == "", "missing_title"), ((text(title) != "") & (F.length(text(title)) < 3), "title_too_short"),
+        ((text(points_raw) != "") & raw.isNull(), "invalid_points_raw"), (beyond(points_min), "invalid_points_min"), (beyond(points_max), "invalid_points_max"),
+        (points_min > points_max, "points_min_exceeds_max"), (raw.isNull() & points_min.isNull() & points_max.isNull(), "missing_points"),
+        (raw["lo"] != points_min, "points_raw_min_mismatch"), (raw["hi"] != points_max, "points_raw_max_mismatch"),
+    ]
+    return F.array_compact(F.array(*(F.when(t, name) for t, name in checks)))
+
+
+def gate(errors: Column, score: Column, issues: Column) -> Column:
     """rejected with a hard error, review below the score or with issues, else published."""
-    return F.when(error.isNotNull(), "rejected").when((score < PUBLISH) | (issues > 0), "review").otherwise("published")
+    return F.when(F.size(errors) > 0, "rejected").when((score < PUBLISH) | (F.size(issues) > 0), "review").otherwise("published")
 
 
 def following_pairs(left: DataFrame, right: DataFrame, key: str, at: str, right_id: str, most: Column) -> DataFrame:
