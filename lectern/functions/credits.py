@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import fold, squash
+from lectern.functions.text import fold, let, squash
 
 MAX_POINTS, MAX_ENROLLMENT = 30.0, 100_000
 
@@ -32,7 +32,11 @@ def credit_constraint(text: Column) -> Column:
     Bounds come before ranges and ranges before an exact number, which alone
     needs a unit; bounds that contradict each other give null.
     """
-    t = F.regexp_replace(F.regexp_replace(fold(text), "[–—−]", "-"), r"(?<=\d),(?=\d)", ".")
+    plain = F.regexp_replace(F.regexp_replace(fold(text), "[–—−]", "-"), r"(?<=\d),(?=\d)", ".")
+    return let(plain, _constraint)
+
+
+def _constraint(t: Column) -> Column:
     number = lambda pattern, group=1: F.regexp_extract(t, pattern, group).try_cast("double")
     low = F.coalesce(number(rf"{LOWER_BEFORE}({NUMBER})"), number(rf"({NUMBER})\s*(?:{UNIT}\s*)?{LOWER_AFTER}"))
     high = F.coalesce(number(rf"{UPPER_BEFORE}({NUMBER})"), number(rf"({NUMBER})\s*(?:{UNIT}\s*)?{UPPER_AFTER}"))
@@ -48,21 +52,18 @@ def credit_constraint(text: Column) -> Column:
 def points_value(c: Column) -> Column:
     """Struct (lo, hi) of a complete points cell with 0 <= lo <= hi <= 30, else null."""
     pattern = rf"(?i)^\s*({NUMBER})(?:\s*(?:-|–|—|to)\s*({NUMBER}))?(?:\s*(?:points?|credits?|pts?))?\s*$"
-    text = squash(c)
-    lo = F.regexp_extract(text, pattern, 1).try_cast("double")
-    hi = F.coalesce(F.regexp_extract(text, pattern, 2).try_cast("double"), lo)
-    return F.when((lo <= hi) & (hi <= MAX_POINTS), F.struct(lo.alias("lo"), hi.alias("hi")))
+    lo = lambda t: F.regexp_extract(t, pattern, 1).try_cast("double")
+    ends = let(squash(c), lambda t: F.struct(lo(t).alias("lo"), F.coalesce(F.regexp_extract(t, pattern, 2).try_cast("double"), lo(t)).alias("hi")))
+    return let(ends, lambda e: F.when((e["lo"] <= e["hi"]) & (e["hi"] <= MAX_POINTS), e))
 
 
 def enrollment_value(c: Column) -> Column:
     """Struct (ok, current, capacity) of an enrollment cell; an empty cell is fine and unknown."""
-    text = squash(c)
     pair, single = r"^(\d{1,9})\s*/\s*(\d{1,9})$", r"^(\d{1,9})$"
-    current = F.coalesce(F.regexp_extract(text, pair, 1).try_cast("int"), F.regexp_extract(text, single, 1).try_cast("int"))
-    capacity = F.regexp_extract(text, pair, 2).try_cast("int")
-    ok = (text == "") | (current.isNotNull() & (current <= MAX_ENROLLMENT) & (F.coalesce(capacity, F.lit(0)) <= MAX_ENROLLMENT))
-    ok = F.coalesce(ok, F.lit(False))
-    return F.struct(ok.alias("ok"), F.when(ok, current).alias("current"), F.when(ok, capacity).alias("capacity"))
+    number = lambda t, pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
+    read = let(squash(c), lambda t: F.struct((t == "").alias("empty"), F.coalesce(number(t, pair, 1), number(t, single, 1)).alias("current"), number(t, pair, 2).alias("capacity")))
+    fits = lambda v: v["empty"] | F.coalesce((v["current"] <= MAX_ENROLLMENT) & (F.coalesce(v["capacity"], F.lit(0)) <= MAX_ENROLLMENT), F.lit(False))
+    return let(read, lambda v: F.struct(fits(v).alias("ok"), F.when(fits(v), v["current"]).alias("current"), F.when(fits(v), v["capacity"]).alias("capacity")))
 
 
 def ranges_overlap(actual_min: Column, actual_max: Column, wanted_min: float | None, wanted_max: float | None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import squash
+from lectern.functions.text import let, squash
 
 # Spellings of days, texts that name no time, the form of a clock range and of a term.
 DAYS = {
@@ -26,10 +26,9 @@ DAY = rf"(?i)(?<![A-Za-z])({SPELLINGS})(?![A-Za-z])"
 
 def meeting_days(times: Column) -> Column:
     """Names of the days in a times cell, in order, each once."""
-    text = squash(times)
     names = F.create_map(*(F.lit(x) for day, spelled in DAYS.items() for s in spelled for x in (s, day)))
-    found = F.transform(F.regexp_extract_all(text, F.lit(DAY), F.lit(1)), lambda d: names[F.lower(d)])
-    return F.when(text.rlike(NO_TIME), F.array().cast("array<string>")).otherwise(F.array_distinct(found))
+    found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(DAY), F.lit(1)), lambda d: names[F.lower(d)])
+    return let(squash(times), lambda t: F.when(t.rlike(NO_TIME), F.array().cast("array<string>")).otherwise(F.array_distinct(found(t))))
 
 
 def time_of_day(times: Column) -> Column:
@@ -43,17 +42,20 @@ def time_of_day(times: Column) -> Column:
 
 def has_clock_range(times: Column) -> Column:
     """Whether the first clock range has hours from 1 to 12 and minutes below 60."""
-    part = lambda i: F.regexp_extract(squash(times), CLOCK, i).try_cast("int")
-    return F.coalesce(part(1).between(1, 12) & part(4).between(1, 12) & (part(2) < 60) & (part(5) < 60), F.lit(False))
+    # Hours from 1 to 12 and minutes below 60 as a form of their own, at the first range.
+    first = F.regexp_extract(squash(times), CLOCK, 0)
+    return first.rlike(r"(?i)^(?:0?[1-9]|1[0-2]):[0-5]\d\D.*[^\d:](?:0?[1-9]|1[0-2]):[0-5]\d(?:\D|$)")
 
 
 def is_schedule(times: Column) -> Column:
     """Whether a times cell is empty, names no time, or is a clock range beside which only days stand."""
-    text = squash(times)
-    before = F.regexp_replace(F.regexp_extract(text, rf"(?s)^(.*?)(?:{CLOCK})", 1), DAY, " ")
-    after = F.regexp_extract(text, rf"(?s)^.*?(?:{CLOCK})(.*)$", 7)
-    clean = has_clock_range(text) & ~F.concat(before, after).rlike(r"\p{L}")
-    return (text == "") | text.rlike(NO_TIME) | clean
+    def body(text: Column) -> Column:
+        before = F.regexp_replace(F.regexp_extract(text, rf"(?s)^(.*?)(?:{CLOCK})", 1), DAY, " ")
+        after = F.regexp_extract(text, rf"(?s)^.*?(?:{CLOCK})(.*)$", 7)
+        clean = has_clock_range(text) & ~F.concat(before, after).rlike(r"\p{L}")
+        return (text == "") | text.rlike(NO_TIME) | clean
+
+    return let(squash(times), body)
 
 
 def is_term(term: Column) -> Column:

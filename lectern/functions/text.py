@@ -21,6 +21,11 @@ def folding_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = folding_table()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squash(c: Column) -> Column:
     """Runs of white space, no-break space included, as one space; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\u00a0]+", " "))

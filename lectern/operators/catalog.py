@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.codes import department, extract_codes, level
 from lectern.functions.credits import enrollment_value, points_value
 from lectern.functions.schedule import CLOCK, is_schedule, is_term, meeting_days, time_of_day
-from lectern.functions.text import squash
+from lectern.functions.text import let, squash
 
 #: Fixed value: titles of placeholder and research courses.
 PLACEHOLDER = (
@@ -31,7 +31,10 @@ def not_a_name(instructor: Column) -> Column:
 
 def section_errors(s: Column, identity: bool = False) -> Column:
     """Names of what is wrong with a section, in a fixed order."""
-    raw = enrollment_value(s["enrollment_raw"])
+    return let(enrollment_value(s["enrollment_raw"]), lambda raw: _errors(s, raw, identity))
+
+
+def _errors(s: Column, raw: Column, identity: bool) -> Column:
     current, capacity = s["enrollment_current"], s["enrollment_capacity"]
     term, number = squash(s["term"]), squash(s["section_call_number"])
     beyond = lambda n: (n < 0) | (n > 100_000)
@@ -53,7 +56,10 @@ def section_errors(s: Column, identity: bool = False) -> Column:
 
 def section_warnings(s: Column) -> Column:
     """Names of what makes a section worth a look."""
-    raw = enrollment_value(s["enrollment_raw"])
+    return let(enrollment_value(s["enrollment_raw"]), lambda raw: _warnings(s, raw))
+
+
+def _warnings(s: Column, raw: Column) -> Column:
     good = lambda n: F.when(n.between(0, 100_000), n)
     current, capacity = F.coalesce(good(s["enrollment_current"]), raw["current"]), F.coalesce(good(s["enrollment_capacity"]), raw["capacity"])
     return F.array_compact(F.array(
@@ -64,16 +70,20 @@ def section_warnings(s: Column) -> Column:
 
 def section_summary(s: Column) -> Column:
     """A section with squashed texts, derived days and time of day, and its validation."""
-    errors, warnings = section_errors(s), section_warnings(s)
-    fine = F.size(errors) == 0
-    return F.struct(
-        squash(s["section_call_number"]).alias("section_id"), squash(s["term"]).alias("term"), squash(s["times"]).alias("times"),
-        F.when(fine, meeting_days(s["times"])).otherwise(F.array().cast("array<string>")).alias("days"),
-        F.when(fine, time_of_day(squash(s["times"]))).otherwise("").alias("time_of_day"),
-        squash(s["instructor"]).alias("instructor"), squash(s["location"]).alias("location"), squash(s["points"]).alias("points"),
-        s["enrollment_current"].alias("enrollment_current"), s["enrollment_capacity"].alias("enrollment_capacity"),
-        F.when(fine & (F.size(warnings) == 0), "published").otherwise("review").alias("status"), errors.alias("errors"), warnings.alias("warnings"),
-    )
+    found = F.struct(s.alias("s"), section_errors(s).alias("errors"), section_warnings(s).alias("warnings"))
+
+    def body(v: Column) -> Column:
+        s, fine = v["s"], F.size(v["errors"]) == 0
+        return F.struct(
+            squash(s["section_call_number"]).alias("section_id"), squash(s["term"]).alias("term"), squash(s["times"]).alias("times"),
+            F.when(fine, meeting_days(s["times"])).otherwise(F.array().cast("array<string>")).alias("days"),
+            F.when(fine, time_of_day(squash(s["times"]))).otherwise("").alias("time_of_day"),
+            squash(s["instructor"]).alias("instructor"), squash(s["location"]).alias("location"), squash(s["points"]).alias("points"),
+            s["enrollment_current"].alias("enrollment_current"), s["enrollment_capacity"].alias("enrollment_capacity"),
+            F.when(fine & (F.size(v["warnings"]) == 0), "published").otherwise("review").alias("status"), v["errors"].alias("errors"), v["warnings"].alias("warnings"),
+        )
+
+    return let(found, body)
 
 
 def course_warnings(needs_review: Column, review_warnings: Column, parse_warnings: Column) -> Column:
