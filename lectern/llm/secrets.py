@@ -21,7 +21,6 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 from lectern.llm.common import shared_path
@@ -53,7 +52,8 @@ MORE_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("pem", 1, r"-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", 0, 27),
 )
-LEDGER = StructType.fromDDL("blob binary, rules array<string>, spans array<struct<start:long,rule:int,kind:string,end:long>>")
+SPANS = "array<struct<start:long,rule:int,kind:string,end:long>>"
+LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
 
 
 def blob_of(text: str) -> F.Column:
@@ -106,7 +106,7 @@ def scan(versions: DataFrame, ledger_path: str, path: str = "path", text: str =
     known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.size("spans") > 0)
     known = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     found = named.select(path, "blob").join(known, "blob", "left")
-    spans = F.filter(F.coalesce("spans", F.array().cast(LEDGER["spans"].dataType)), lambda s: F.array_contains(wanted, s["kind"]))
+    spans = F.filter(F.coalesce("spans", F.array().cast(SPANS)), lambda s: F.array_contains(wanted, s["kind"]))
     return found.select(path, F.hex("blob").alias("blob"), spans.alias("spans"))
 
 

@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
 from lectern.llm.common import durable
@@ -62,7 +63,7 @@ def fingerprints(texts: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         texts = [(t or "").encode() for t in batch]
