@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lectern.functions.codes import BODY, extract_codes
 from lectern.functions.text import fold
@@ -82,7 +83,7 @@ def least_courses(text: str) -> int | None:
     return reduced(counts) if counts else None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def least_courses_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([least_courses(t or "") for t in texts], index=texts.index, dtype="Int32")
 

@@ -555,8 +555,8 @@ def _(spark, d):
     return rows.select("course_uid", F.size("sections_summary").cast("long").alias("n"), F.regexp_extract(shown, r"(\(\+\d+ more\))$", 1).alias("tail"))
 
 
-@query("citation_extract", """SELECT answer_id, uid, row_number() OVER (PARTITION BY answer_id ORDER BY at)::int AS mention FROM (
- SELECT o_orderkey AS answer_id, 'u' || (1 + o_orderkey % 3) AS uid, 1 AS at FROM orders UNION ALL SELECT o_orderkey, 'u4', 2 FROM orders)""")
+@query("citation_extract", """SELECT answer_id, uid, row_number() OVER (PARTITION BY answer_id ORDER BY place)::int AS mention FROM (
+ SELECT o_orderkey AS answer_id, 'u' || (1 + o_orderkey % 3) AS uid, 1 AS place FROM orders UNION ALL SELECT o_orderkey, 'u4', 2 FROM orders)""")
 def _(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("answer_id")).distinct()
     words = F.format_string("See [S%d], or COMS W4111 and [S%d] and [S9].", 1 + F.col("answer_id") % 3, 1 + F.col("answer_id") % 3)
