@@ -86,7 +86,7 @@ def embedded_json(c: Column) -> Column:
     braces = lambda x: F.regexp_extract(x, r"(?s)(\{.*\})", 1)
     plain = without_thoughts(c)
     tries = [F.trim(c), fenced(c), braces(c), F.trim(plain), fenced(plain), braces(plain)]
-    return F.coalesce(*(F.when(F.try_parse_json(t).isNotNull() & t.startswith("{"), t) for t in tries))
+    return F.coalesce(*(F.when(F.try_parse_json(t).isNotNull() & t.startswith("{") & t.endswith("}"), t) for t in tries))
 
 
 def strict_count(c: Column, most: int = 100_000) -> Column:
