@@ -3,7 +3,7 @@
 Subwords are the byte n-grams of a lower-cased text in which every ASCII
 character but letters is a blank. A text is the average of its subwords'
 embedding rows; embeddings and softmax are trained together by stochastic
-gradient descent in numpy on at most ``per_language`` documents of each
+gradient descent in numpy on about ``per_language`` documents at most of each
 language, picked by hash. As both are linear, a trained model is one row of
 class scores per bucket, and a text's scores are the average of those rows.
 A part of the sample sets the temperature of the softmax and the score below
@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lectern.llm.common import durable
 from lectern.llm.shingles import by_size
@@ -133,17 +132,22 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from at most ``per_language`` documents of each language that are not held out."""
+    """A model from about ``per_language`` documents at most of each language that are not held out."""
     known = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = durable(known.withColumn("place", place).where(F.col("place") <= per_language))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    if not counts:
+        return None
+    # A hash picks about the wanted number of every language, wherever its rows lie.
+    cuts = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 20)))))
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cuts[F.col("lang")])
+    picked = durable(picked.dropDuplicates(["doc_id"]).withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))))
 
     @F.pandas_udf("array<float>")
     def bags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([bag(t).astype(np.float32) for t in batch], index=batch.index)
 
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(picked), "doc_id")
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     data = texts.select("lang", "place", "doc_id", bags("text").alias("x")).toPandas().sort_values(["place", "lang", "doc_id"], kind="stable")
     if not len(data):
         return None

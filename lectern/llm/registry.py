@@ -21,4 +21,17 @@ QUERIES = {
     "op10_fuzzy_lines": lambda spark, d: lines.report(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # Every item of the table has five words or more.
+    "op5_decontamination": r"""
+WITH parts AS (
+ SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+worded AS (
+ SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-`{-\x7f]+') AS w FROM parts),
+shingled AS (
+ SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM worded WHERE len(w) >= 5),
+sizes AS (SELECT id, count(*) AS n FROM shingled WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, min(n) AS shingles, count(*) / min(n) AS containment
+FROM shingled d JOIN shingled i ON d.kind = 'd' AND i.kind = 'i' AND d.s = i.s JOIN sizes ON sizes.id = i.id
+GROUP BY d.id, i.id HAVING count(*) * 10 >= min(n) * 8""",
+}
