@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
-from lectern.llm.common import durable
+from lectern.llm.common import durable, release
 from lectern.llm.graph import components
 from lectern.llm.shingles import Words, by_size
 
@@ -138,6 +138,7 @@ def near_links(prints: DataFrame, distance: int) -> DataFrame:
     group = W.partitionBy("pick", "key")
     dealt = keyed.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("row", F.row_number().over(group.orderBy("fp")) - 1)
     dealt = durable(dealt)
+    release(prints.sparkSession)
     small = dealt.where(F.col("n") <= GROUP).select("pick", "key", "fp", "rep")
     small = small.repartition("pick", "key").sortWithinPartitions("pick", "key").mapInPandas(links_of_runs(distance), "u long, v long")
     chunk, chunks = F.floor(F.col("row") / GROUP), F.ceil(F.col("n") / GROUP)
