@@ -272,6 +272,18 @@ def test_line_fingerprints(spark):
         assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
 
 
+def test_line_similarity_is_the_edit_distance(spark):
+    rng = random.Random(6)
+    forms = [[rng.choice(["a", "bb", "ccc", "dd"]) for _ in range(rng.randrange(1, 12))] for _ in range(60)]
+    pairs = spark.createDataFrame([(i, j) for i in range(60) for j in range(i)], "u long, v long")
+    named = spark.createDataFrame(list(enumerate(forms)), "node long, words array<string>")
+    texts = named.select("node", F.array_join("words", " ").alias("t"))
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("t").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("t").alias("b")), "v")
+    want = both.where("levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.4 + 1e-9)").select("u", "v").collect()
+    got = lines.similar(pairs, named, 0.6).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 50 < len(want) < 1700
+
+
 def test_line_links_match_all_pairs(spark):
     rng = random.Random(9)
     base = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.choice("uvwxyz")) * 2 for _ in range(60)) for _ in range(6)]
