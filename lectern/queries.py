@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lectern import session
 from lectern.functions import codes, credits, prerequisites, schedule, suitability, text, web
 from lectern.operators import analytics, answers, catalog, conversation, crawl, importing, overlays, repair, retrieval
 from lectern.plans import intent, projection
@@ -35,6 +36,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
+    """The index as a materialised view: filters on it repeat no validation."""
+    return session.materialised(enriched(spark, d))
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
     return catalog.enrich(projection.details(spark, d), projection.NAMES)
 
 

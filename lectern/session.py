@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -14,3 +17,14 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that the cluster shares, as a view that queries read again.
+
+    A local folder is set only where the session names none.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
+    return df.checkpoint()
