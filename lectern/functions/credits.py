@@ -26,6 +26,11 @@ BETWEEN = rf"(?:between|entre)\s*({NUMBER})\s*(?:and|y|et)\s*({NUMBER})"
 RANGE = rf"({NUMBER})\s*(?:-|~|to|through|a|hasta|au|到|至)\s*({NUMBER})"
 
 
+def _double(c: Column) -> Column:
+    """A number's text as double; a group that didn't match is null before the cast, which is dear to fail."""
+    return F.nullif(c, F.lit("")).try_cast("double")
+
+
 def credit_constraint(text: Column) -> Column:
     """Struct (min, max) of the credits that a phrase asks for, either side open, else null.
 
@@ -37,7 +42,7 @@ def credit_constraint(text: Column) -> Column:
 
 
 def _constraint(t: Column) -> Column:
-    number = lambda pattern, group=1: F.regexp_extract(t, pattern, group).try_cast("double")
+    number = lambda pattern, group=1: _double(F.regexp_extract(t, pattern, group))
     low = F.coalesce(number(rf"{LOWER_BEFORE}({NUMBER})"), number(rf"({NUMBER})\s*(?:{UNIT}\s*)?{LOWER_AFTER}"))
     high = F.coalesce(number(rf"{UPPER_BEFORE}({NUMBER})"), number(rf"({NUMBER})\s*(?:{UNIT}\s*)?{UPPER_AFTER}"))
     made = lambda a, b: F.struct(a.alias("min"), b.alias("max"))
@@ -52,15 +57,15 @@ def _constraint(t: Column) -> Column:
 def points_value(c: Column) -> Column:
     """Struct (lo, hi) of a complete points cell with 0 <= lo <= hi <= 30, else null."""
     pattern = rf"(?i)^\s*({NUMBER})(?:\s*(?:-|–|—|to)\s*({NUMBER}))?(?:\s*(?:points?|credits?|pts?))?\s*$"
-    lo = lambda t: F.regexp_extract(t, pattern, 1).try_cast("double")
-    ends = let(squash(c), lambda t: F.struct(lo(t).alias("lo"), F.coalesce(F.regexp_extract(t, pattern, 2).try_cast("double"), lo(t)).alias("hi")))
+    lo = lambda t: _double(F.regexp_extract(t, pattern, 1))
+    ends = let(squash(c), lambda t: F.struct(lo(t).alias("lo"), F.coalesce(_double(F.regexp_extract(t, pattern, 2)), lo(t)).alias("hi")))
     return let(ends, lambda e: F.when((e["lo"] <= e["hi"]) & (e["hi"] <= MAX_POINTS), e))
 
 
 def enrollment_value(c: Column) -> Column:
     """Struct (ok, current, capacity) of an enrollment cell; an empty cell is fine and unknown."""
     pair, single = r"^(\d{1,9})\s*/\s*(\d{1,9})$", r"^(\d{1,9})$"
-    number = lambda t, pattern, i: F.regexp_extract(t, pattern, i).try_cast("int")
+    number = lambda t, pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).try_cast("int")
     read = let(squash(c), lambda t: F.struct((t == "").alias("empty"), F.coalesce(number(t, pair, 1), number(t, single, 1)).alias("current"), number(t, pair, 2).alias("capacity")))
     fits = lambda v: v["empty"] | F.coalesce((v["current"] <= MAX_ENROLLMENT) & (F.coalesce(v["capacity"], F.lit(0)) <= MAX_ENROLLMENT), F.lit(False))
     return let(read, lambda v: F.struct(fits(v).alias("ok"), F.when(fits(v), v["current"]).alias("current"), F.when(fits(v), v["capacity"]).alias("capacity")))

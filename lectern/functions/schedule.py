@@ -27,16 +27,25 @@ DAY = rf"(?i)(?<![A-Za-z])({SPELLINGS})(?![A-Za-z])"
 def meeting_days(times: Column) -> Column:
     """Names of the days in a times cell, in order, each once."""
     names = F.create_map(*(F.lit(x) for day, spelled in DAYS.items() for s in spelled for x in (s, day)))
-    found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(DAY), F.lit(1)), lambda d: names[F.lower(d)])
-    return let(squash(times), lambda t: F.when(t.rlike(NO_TIME), F.array().cast("array<string>")).otherwise(F.array_distinct(found(t))))
+    # A day is a whole run of letters, so runs are taken and looked up.
+    runs = lambda t: F.regexp_extract_all(F.lower(t), F.lit("([a-z]+)"), F.lit(1))
+    found = lambda t: F.array_distinct(F.array_compact(F.transform(runs(t), lambda d: F.try_element_at(names, d))))
+    return let(squash(times), lambda t: F.when(t.rlike(NO_TIME), F.array().cast("array<string>")).otherwise(found(t)))
 
 
 def time_of_day(times: Column) -> Column:
     """morning, afternoon or evening by the first clock time with am or pm, else empty."""
     pattern = r"(?i)(\d{1,2}):(\d{2})\s*(am|pm)"
-    hour = F.regexp_extract(times, pattern, 1).try_cast("int")
-    half = F.lower(F.regexp_extract(times, pattern, 3))
-    hour = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    read = let(F.regexp_extract(times, pattern, 0), lambda t: F.struct(F.regexp_extract(t, r"^(\d+)", 1).alias("hour"), F.lower(F.right(t, F.lit(2))).alias("half")))
+    return let(read, lambda r: let(_hour(r["hour"], r["half"]), _bucket))
+
+
+def _hour(text: Column, half: Column) -> Column:
+    hour = F.nullif(text, F.lit("")).try_cast("int") % 12 + F.when(half == "pm", 12).otherwise(0)
+    return F.when(F.nullif(text, F.lit("")).try_cast("int") > 12, F.nullif(text, F.lit("")).try_cast("int") + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
+
+
+def _bucket(hour: Column) -> Column:
     return F.when(hour < 12, "morning").when(hour < 17, "afternoon").when(hour.isNotNull(), "evening").otherwise("")
 
 
