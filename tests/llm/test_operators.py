@@ -237,6 +237,29 @@ def test_passages(spark):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_beside_hubs(spark):
+    """Many texts share a block that is too short for a passage; two pairs of them share the words around it too."""
+    rng = random.Random(11)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    powers = passages.Powers()
+    hashed = lambda words: passages.shingle_hashes(passages.Words([" ".join(words).encode()], punctuation=True).hashes(powers), passages.SIZE)
+    # A block of small shingles under every function.
+    block = min((text(30) for _ in range(2000)), key=lambda words: max(int(passages.mixed(hashed(words) ^ s).min()) for s in passages.SEEDS))
+
+    def around():
+        # The smallest shingle lies in the block under every function.
+        while True:
+            words = text(20) + block + text(20)
+            if all(20 <= int(passages.mixed(hashed(words) ^ s).argmin()) <= 45 for s in passages.SEEDS):
+                return words
+
+    middle = [around() for _ in range(40)]
+    middle[30], middle[39] = middle[5], middle[12]
+    rows = [(i, " ".join(text(60) + m + text(60)), "en", "s") for i, m in enumerate(middle)]
+    found = passages.repeated_passages(made(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(5, 30), (12, 39)}
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(1)
     h = rng.permutation(300)
