@@ -260,6 +260,36 @@ def test_passages_beside_hubs(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(5, 30), (12, 39)}
 
 
+def test_passages_with_changed_words():
+    rng = random.Random(5)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    powers = passages.Powers()
+    hashed = lambda words: passages.shingle_hashes(passages.Words([" ".join(words).encode()], punctuation=True).hashes(powers), passages.SIZE)
+    jaccard = lambda a, b: len({*a.tolist()} & {*b.tolist()}) / len({*a.tolist()} | {*b.tolist()})
+    checked = 0
+    for size in (50, 55, 60, 70, 95):
+        for kind in ("changed", "added", "missing", "two"):
+            for at in range(0, size, 3):
+                passage = text(size)
+                other = list(passage)
+                other[at : at + (kind != "added")] = [] if kind == "missing" else ["new"]
+                if kind == "two":
+                    other[size // 2 : size // 2] = ["more"]
+                share = jaccard(hashed(passage), hashed(other))
+                a, b = text(60) + passage + text(60), text(90) + other + text(30)
+                x, y = hashed(a), hashed(b)
+                common = [(int(i), int(j)) for _, i, j in zip(*np.intersect1d(x, y, return_indices=True), strict=True)]
+                if share < 0.8 or len(other) < 50:
+                    continue
+                checked += 1
+                for seed in common[::7]:
+                    found = passages.aligned(x, y, [seed], 0.8)
+                    assert any(lo <= seed[0] <= hi and first <= seed[1] <= end for lo, hi, first, end, _ in found), (size, kind, at)
+                    for lo, hi, first, end, got in found:
+                        assert hi - lo >= 45 and end - first >= 45 and got >= 0.8 and got == jaccard(x[lo : hi + 1], y[first : end + 1])
+    assert checked > 200
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(1)
     h = rng.permutation(300)
