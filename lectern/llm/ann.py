@@ -14,13 +14,15 @@ task.
 
 Defined results: vectors that are null or zero or hold a null or non-finite
 component, and rows without vec_id, take no part; rows that repeat a vec_id are
-never each other's neighbours; a table of few vectors is one part and searched
+never each other's neighbours and count once, with the nearest of their vectors;
+vectors are compared with those of their own length, each length searched for itself; a table of few vectors is one part and searched
 exactly; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ SAMPLE = 8192
 #: Indexed vectors for each part, and the most parts.
 PART_ROWS, PARTS = 1024, 128
 NEIGHBOURS = 10
+SCHEMA = "query_id long, rank int, vec_id long, score double"
 #: Rows of a block of a part, and of a block of queries to it.
 BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -173,19 +176,25 @@ def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, aim: float = 0
         F.col("vec_id").cast("long"), F.transform("embedding", lambda c: c.cast("double") + F.lit(0.0)).alias("v"), is_query.alias("asks"))
     rows = rows.withColumn("h", F.xxhash64("v"))
     alike = W.partitionBy("h", "v").orderBy("vec_id")
-    base = durable(rows.withColumn("place", F.dense_rank().over(alike)).where(F.col("place") <= k + 1).select("vec_id", "v", "h"))
-    count = base.count()
+    distinct = rows.select("vec_id", "v", "h").distinct()
+    base = durable(distinct.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).select("vec_id", "v", "h"))
+    found = [same_length(base.where(F.size("v") == n), rows.where(F.size("v") == n), count, n, k, aim, sample) for n, count in sorted(base.groupBy(F.size("v")).count().collect())]
+    return reduce(DataFrame.union, found, spark.createDataFrame([], SCHEMA)) if len(found) != 1 else found[0]
+
+
+def same_length(base: DataFrame, rows: DataFrame, count: int, width: int, k: int, aim: float, sample: int) -> DataFrame:
+    """``search`` for the ``count`` indexed vectors ``base`` and the rows of one length."""
+    spark = base.sparkSession
     share = min(1.0, sample / max(count, 1))
     picked = base.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("v").distinct().toPandas()["v"].to_list()
-    width = max(map(len, picked), default=0)
-    shared = spark.sparkContext.broadcast(learn(np.array(sorted(map(tuple, (v for v in picked if len(v) == width)))), count, k, aim))
+    shared = spark.sparkContext.broadcast(learn(np.array(sorted(map(tuple, picked))).reshape(-1, width), count, k, aim))
 
     @F.pandas_udf("int")
     def part_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(shared.value.ranked(np.stack(batch))[:, 0] if len(batch) else [], index=batch.index, dtype="int32")
 
-    base = durable(base.where(F.size("v") == width).withColumn("part", part_of("v")))
+    base = durable(base.withColumn("part", part_of("v")))
     held = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}  # a row per part
 
     @F.pandas_udf("array<int>")
@@ -198,12 +207,12 @@ def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, aim: float = 0
                 out.append(parts[: max(shared.value.probes, int(np.searchsorted(have, k + 1)) + 1)].astype("int32"))
             yield pd.Series(out, index=batch.index, dtype=object)
 
-    queries = rows.where(F.col("asks") & (F.size("v") == width)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("vec_id").alias("hq"))
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("vec_id").alias("hq"))
     queries = durable(queries.withColumn("part", F.explode(probed("q"))))
     asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     blocks = {p: (-(-n // BLOCK), max(1, -(-asked.get(p, 0) // QUERY_BLOCK))) for p, n in held.items()}
     if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], SCHEMA)
     cuts = F.create_map(*(F.lit(x) for p, (a, b) in sorted(blocks.items()) for x in (p, a * 100_000 + b)))
     of_base, of_queries = F.floor(cuts[F.col("part")] / 100_000).cast("int"), (cuts[F.col("part")] % 100_000).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -213,16 +222,19 @@ def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, aim: float = 0
     def nearest(asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(asks) or not len(have):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        have = have.sort_values("vec_id")
         q, v, ids, own = np.stack(asks["q"]), np.stack(have["v"]), have["vec_id"].to_numpy(), asks["query_id"].to_numpy()
         s = unit(q) @ unit(v).T
         s[own[:, None] == ids[None, :]] = -np.inf
-        most = min(2 * k + 2, len(ids))
-        best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-        x, y = np.repeat(np.arange(len(q)), most), best.ravel()
+        # All rows as near as the k-th vec_id, with room for rounding; exact scores then choose among them.
+        each = np.maximum.reduceat(s, np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)), axis=1)
+        at = max(0, each.shape[1] - k)
+        x, y = np.nonzero(s >= np.partition(each, at, axis=1)[:, at, None] - 1e-9)
         keep = own[x] != ids[y]
         x, y = x[keep], y[keep]
         score = (q[x] * v[y]).sum(1) / (np.sqrt((q[x] ** 2).sum(1)) * np.sqrt((v[y] ** 2).sum(1)))
-        return pd.DataFrame({"query_id": own[x], "vec_id": ids[y], "score": score})
+        out = pd.DataFrame({"query_id": own[x], "vec_id": ids[y], "score": score}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return out.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
 
     keys = ["part", "a", "b"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_id long, score double")

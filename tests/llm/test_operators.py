@@ -386,6 +386,15 @@ def test_ann_recall_and_order(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_ann_repeats_ties_and_lengths(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 30 + [(1, [1.0, 0.01 + i / 1e4]) for i in range(30)] + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
+    rows += [(1000, [0.0, -1.0])] + [(1000 + i, [0.0, -float(2 ** (i % 50))]) for i in range(1, 200)]
+    rows += [(3000 + i, [1.0, float(i), 2.0]) for i in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = ann.search(table, F.col("vec_id").isin(0, 1000, 3000)).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, i) for i in range(1, 6)] + [(1000, i) for i in range(1001, 1006)] + [(3000, 3001), (3000, 3002)]
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = docs.select("doc_id", "lang").join(langid.identified(docs), "doc_id").where("held_out").collect()
