@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, decontamination, langid, lines, mixing, passages, secrets, simhash, tokens, toxicity
+from lectern.llm import alignment, ann, decontamination, langid, lines, mixing, passages, secrets, simhash, tokens, toxicity
 from lectern.llm.boosting import Boosted, Isotonic
 from lectern.llm.graph import components
 
@@ -260,11 +260,15 @@ def test_passages_beside_hubs(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(5, 30), (12, 39)}
 
 
+def hashed_words(words):
+    powers = passages.Powers()
+    found = passages.shingle_hashes(passages.Words([" ".join(words).encode()], punctuation=True).hashes(powers), passages.SIZE)
+    return (found >> np.uint64(32)).astype(np.uint32)
+
+
 def test_passages_with_changed_words():
     rng = random.Random(5)
     text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
-    powers = passages.Powers()
-    hashed = lambda words: passages.shingle_hashes(passages.Words([" ".join(words).encode()], punctuation=True).hashes(powers), passages.SIZE)
     jaccard = lambda a, b: len({*a.tolist()} & {*b.tolist()}) / len({*a.tolist()} | {*b.tolist()})
     checked = 0
     for size in (50, 55, 60, 70, 95):
@@ -275,21 +279,77 @@ def test_passages_with_changed_words():
                 other[at : at + (kind != "added")] = [] if kind == "missing" else ["new"]
                 if kind == "two":
                     other[size // 2 : size // 2] = ["more"]
-                share = jaccard(hashed(passage), hashed(other))
-                a, b = text(60) + passage + text(60), text(90) + other + text(30)
-                x, y = hashed(a), hashed(b)
-                common = [(int(i), int(j)) for _, i, j in zip(*np.intersect1d(x, y, return_indices=True), strict=True)]
-                if share < 0.8 or len(other) < 50:
+                if jaccard(hashed_words(passage), hashed_words(other)) < 0.8 or len(other) < 50:
                     continue
                 checked += 1
-                for seed in common[::7]:
-                    found = passages.aligned(x, y, [seed], 0.8)
-                    assert any(lo <= seed[0] <= hi and first <= seed[1] <= end for lo, hi, first, end, _ in found), (size, kind, at)
-                    for lo, hi, first, end, got in found:
-                        assert hi - lo >= 45 and end - first >= 45 and got >= 0.8 and got == jaccard(x[lo : hi + 1], y[first : end + 1])
+                x, y = hashed_words(text(60) + passage + text(60)), hashed_words(text(90) + other + text(30))
+                _, i, j = np.intersect1d(x, y, return_indices=True)
+                found, inside = alignment.passages(x, alignment.Text(y), np.stack((i, j), axis=1)[::7], 46, 0.8)
+                assert inside.all(), (size, kind, at)
+                for lo, hi, first, end, got in found:
+                    assert hi - lo >= 46 and end - first >= 46 and got >= 0.8 and got == jaccard(x[lo:hi], y[first:end])
     assert checked > 200
 
 
+def test_passages_that_texts_repeat_or_reorder():
+    rng = random.Random(8)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    one, two = text(60), text(70)
+    for a, b in (
+        (text(30) + one + text(20) + two, two + text(40) + one),  # in another order
+        (one * 5 + text(9), text(50) + one),  # one text repeats it
+        (one * 4, text(3) + one * 3),  # both do
+        (["la"] * 900, text(80) + ["la"] * 120),
+    ):
+        x, y = hashed_words(a), hashed_words(b)
+        common = [(i, j) for i, s in enumerate(x.tolist()) for j in np.flatnonzero(y == s).tolist()][:5000]
+        found, inside = alignment.passages(x, alignment.Text(y), np.array(common), 46, 0.8)
+        covered = {i for lo, hi, *_ in found for i in range(lo, hi)}
+        assert inside.all() and {i for i, _ in common} <= covered
+
+
+def test_passages_recall_against_all_pairs(spark):
+    """Every pair of texts, compared by a plain search over all spans of 50 to 60 words."""
+    rng = random.Random(13)
+    text = lambda n: [f"t{rng.randrange(10**5)}" for _ in range(n)]
+    source = [text(56) for _ in range(12)]
+
+    def near(words):
+        words = list(words)
+        for _ in range(rng.randrange(3)):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind > 0)] = [] if kind == 2 else ["new"]
+        return words
+
+    rows = [(i, " ".join(text(rng.randrange(50)) + near(source[i % 12]) + text(rng.randrange(50)))) for i in range(72)]
+    sets = {i: [{*s[k : k + 46].tolist()} for k in range(len(s) - 45)] for i, s in ((i, hashed_words(t.split())) for i, t in rows)}
+    wanted = {(i, j) for i in sets for j in sets if j < i and any(len(a & b) * 9 >= 8 * 46 for a in sets[i] for b in sets[j])}
+    found = passages.repeated_passages(made(spark, [(i, t, "en", "s") for i, t in rows])).where("kind = 'passage'").collect()
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for r in found:
+        parent[find(r["doc_id"])] = find(r["other_id"])
+    assert len(wanted) > 60 and sum(find(i) == find(j) for i, j in wanted) >= 0.97 * len(wanted)
+    assert all(i % 12 == find(i) % 12 for i in sets)
+
+
+def test_passages_beside_a_frequent_phrase(spark):
+    """A phrase too short for a passage stands in every text; pairs of them share the words around it."""
+    rng = random.Random(17)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    phrase = text(30)
+    middle = [text(12) + phrase + text(12) for _ in range(60)]
+    middle += [list(middle[i]) for i in range(0, 60, 3)]
+    rows = [(i, " ".join(text(70) + m + text(70)), "en", "s") for i, m in enumerate(middle)]
+    found = passages.repeated_passages(made(spark, rows)).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(3 * k, 60 + k) for k in range(20)}
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(1)
     h = rng.permutation(300)
