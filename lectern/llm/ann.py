@@ -15,8 +15,8 @@ task.
 Defined results: vectors that are null or zero or hold a null or non-finite
 component, and rows without vec_id, take no part; rows that repeat a vec_id are
 never each other's neighbours and count once, with the nearest of their vectors;
-vectors are compared with those of their own length, each length searched for itself; a table of few vectors is one part and searched
-exactly; other columns are ignored; an empty table gives no rows.
+vectors are compared with those of their own length, each length searched for itself; under ``2 * LEAST_PART`` different vectors are
+one part, which is searched exactly; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lectern.llm.common import durable
+from lectern.llm.common import durable, share_of
 
 #: Vectors that the partitioning is learned from, at most about so many.
 SAMPLE = 8192
 #: Indexed vectors for each part, and the most parts.
 PART_ROWS, PARTS = 1024, 128
+#: Sampled vectors that a part is learned from at least; a sample of fewer than two parts' makes one part, which is searched whole.
+LEAST_PART = 32
 NEIGHBOURS = 10
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 #: Rows of a block of a part, and of a block of queries to it.
@@ -141,8 +143,8 @@ class Index:
 
 def learn(x: np.ndarray, rows: int, k: int, aim: float) -> Index:
     """An index for ``rows`` vectors from a sample of them."""
-    parts = min(PARTS, rows // PART_ROWS)
-    if parts < 4 or len(x) < 32 * parts:
+    parts = min(PARTS, max(2, rows // PART_ROWS), len(x) // LEAST_PART)
+    if parts < 2:
         return Index(None, 1)
     x = unit(x)
     graph = graph_of(x, NEIGHBOURS)
@@ -186,7 +188,7 @@ def same_length(base: DataFrame, rows: DataFrame, count: int, width: int, k: int
     """``search`` for the ``count`` indexed vectors ``base`` and the rows of one length."""
     spark = base.sparkSession
     share = min(1.0, sample / max(count, 1))
-    picked = base.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).select("v").distinct().toPandas()["v"].to_list()
+    picked = base.where(share_of(share, "h")).select("v").distinct().toPandas()["v"].to_list()
     shared = spark.sparkContext.broadcast(learn(np.array(sorted(map(tuple, picked))).reshape(-1, width), count, k, aim))
 
     @F.pandas_udf("int")

@@ -58,6 +58,11 @@ def words_in(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def share_of(share, *columns) -> F.Column:
+    """Whether a row is in a sample of about ``share`` of all (a number or column), by a hash of its columns; shares may be as small as 2 ** -50."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)).cast("double") < share * F.lit(float(1 << 53))
+
+
 def parallelism(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

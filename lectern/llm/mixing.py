@@ -1,21 +1,25 @@
 """Mix sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents of a source are dealt by hash into blocks of about ``block_docs``
-documents. A source's target is met by whole passes over its blocks and one
+Documents of a source are dealt by a hash of doc_id and text into blocks of about
+``block_docs`` documents. A source's target is met by whole passes over its blocks and one
 partial pass over a permuted prefix of them; the document at the cut gives only
 the words that are still missing. All drawn blocks are then shared among the
 output shards: a binary tree over the shards splits the exact per-source block
 quotas, each split a multivariate-hypergeometric draw, and every shard takes
 the next run of each source's permuted blocks. Rows inside a shard carry a
-random ``order_key`` to sort by.
+random ``order_key`` to sort by. What a document gives is what its placements in
+shards add up to. ``draw`` makes the mixed corpus of it.
 
 Only one row per source reaches the driver. Windows run over the blocks of a
 source (a ``block_docs``-th of its rows) and over the rows of one block, so a
 source with most of the corpus makes no large task.
 
 Defined results: null text has size 0; null is a source of its own and sorts
-last; repeated rows count each; a source whose texts have no words has target
-0; an empty table gives no rows; other columns of the input are ignored.
+last; repeated rows, and rows of one or no doc_id, count each; a source whose
+texts have no words has target 0; ties in the order of blocks and documents go by
+their numbers and ids; an empty table gives no rows; other columns of the input
+are ignored by ``mix`` and kept by ``draw``. Rows that are equal in doc_id and
+text share a block, so a table of mostly such rows makes a large task.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lectern.llm.common import durable, words_in
+from lectern.llm.common import WORD, durable, parallelism, words_in
 
 #: Rows of the per-source plan up to which it is broadcast (about 200 bytes a row).
 BROADCAST_SOURCES = 20_000
@@ -95,15 +99,18 @@ def mix(
     shards: int = 16,
     block_docs: int = 512,
     seed: int = 42,
+    whole: bool = False,
 ) -> DataFrame:
     """Mixing plan: doc_id, source, size, source_size, target, taken, placements.
 
     Sources in code-point order, null last, get ``weights`` in turn.
     ``placements`` lists, per pass that takes words of the document, the pass,
-    the words, the output shard and the key to order the shard by.
+    the words, the output shard and the key to order the shard by. ``whole``
+    adds ``document``, all columns of the input.
     """
-    spark = docs.sparkSession
-    sized = durable(docs.select("doc_id", "source", words_in("text").alias("size")))
+    spark, carried = docs.sparkSession, ["document"] * whole
+    sized = docs.select("doc_id", "source", words_in("text").alias("size"), F.xxhash64("doc_id", "text").alias("h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] * whole))
+    sized = sized if whole else durable(sized)
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     aims = targets([r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, cap)
@@ -116,8 +123,8 @@ def mix(
     small = F.broadcast if len(plan) <= BROADCAST_SOURCES else (lambda x: x)
 
     rows = sized.alias("d").join(small(quotas).alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")))
-    rows = rows.select("d.doc_id", "d.source", "d.size", "q.k", "q.words", "q.target", "q.passes", "q.rest",
-                       F.pmod(F.xxhash64("d.doc_id", F.lit(seed)), F.col("q.blocks")).alias("block"))
+    rows = rows.select("d.doc_id", "d.source", "d.size", "d.h", *carried, "q.k", "q.words", "q.target", "q.passes", "q.rest",
+                       F.pmod(F.xxhash64("d.h", F.lit(seed)), F.col("q.blocks")).alias("block"))
     blocks = rows.groupBy("k", "block").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     permuted = W.partitionBy("k").orderBy(F.xxhash64("k", "block", F.lit(seed + 1)), "block")
     blocks = durable(blocks.select(
@@ -138,25 +145,34 @@ def mix(
         )).alias("shards"),
     )
 
-    inside = W.partitionBy("k", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size")
+    inside = W.partitionBy("k", "block").orderBy(F.xxhash64("h", F.lit(seed + 2)), "doc_id", "size")
     rows = rows.join(blocks, ["k", "block"])
     done = F.col("before") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - done)))
-    return rows.select(
-        "doc_id", "source", "size", F.col("words").alias("source_size"), "target",
-        (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
-        F.expr(
-            "filter(transform(coalesce(shards, array()), (s, p) -> named_struct('pass', p, 'words', if(p < passes, size, part), "
-            f"'shard', s, 'order_key', xxhash64(doc_id, p, {seed + 3}))), x -> x.words > 0)"
-        ).alias("placements"),
+    placed = F.expr(
+        "filter(transform(coalesce(shards, array()), (s, p) -> named_struct('pass', p, 'words', if(p < passes, size, part), "
+        f"'shard', s, 'order_key', xxhash64(h, p, {seed + 3}))), x -> x.words > 0)"
     )
+    rows = rows.withColumn("placements", placed)
+    taken = F.aggregate("placements", F.lit(0).cast("long"), lambda s, p: s + p["words"])
+    return rows.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", taken.alias("taken"), "placements", *carried)
 
 
-def draw(docs: DataFrame, plan: DataFrame, shards: int = 16) -> DataFrame:
-    """The mixed corpus: one row per document and pass, a shard's rows together and shuffled.
+def draw(docs: DataFrame, shards: int = 16, length: str | None = None, **settings) -> DataFrame:
+    """The mixed corpus: the documents' columns, one row per document and pass, and shard, pass and words.
 
-    Adds pass, shard and words to the document's columns; the text of a row with
-    fewer words than the document is cut by the reader after so many words.
+    The text of a row with fewer words than the document is cut after so many
+    words; ``length`` names a column that follows a cut text's length. A shard's rows are together and in random order; a large shard goes
+    over several partitions, each a range of that order.
     """
-    takes = plan.select("doc_id", F.explode("placements").alias("p")).select("doc_id", "p.pass", "p.words", "p.shard", "p.order_key")
-    return docs.join(takes, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "order_key").drop("order_key")
+    plan = mix(docs, shards=shards, whole=True, **settings)
+    rows = plan.select("document", "size", F.explode("placements").alias("p"))
+    pieces = max(1, -(-parallelism(docs) // shards))
+    piece = F.floor((F.col("p.order_key") / F.lit(2.0**64) + 0.5) * pieces)
+    words = F.regexp_extract_all("document.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.col("p.words") < F.col("size")
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("p.words").cast("int")), "")).otherwise(F.col("document.text"))
+    size = lambda c: F.when(cut, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(f"document.`{c}`"))
+    own = [text.alias(c) if c == "text" else size(c).alias(c) if c == length else F.col(f"document.`{c}`") for c in docs.columns if c not in ("shard", "pass", "words")]
+    rows = rows.withColumn("piece", piece).repartition("p.shard", "piece").sortWithinPartitions("p.shard", "p.order_key")
+    return rows.select(*own, "p.shard", "p.pass", "p.words")

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, decontamination, langid, lines, mixing, passages, secrets, simhash, tokens, toxicity
 from lectern.llm.common import table
 
+
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which lies beside the package and not in it."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES = {
     "op1_ann_learned_partitions": lambda spark, d: ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0),
     "op2_simhash_dedup": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_secret_scan": lambda spark, d: secrets.scan_documents(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
-    "op6_source_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")).drop("placements"),
+    "op6_source_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: langid.identified(table(spark, d, "documents")),
     "op8_token_counts": lambda spark, d: tokens.count_tokens(table(spark, d, "documents")),
     "op9_repeated_passages": lambda spark, d: passages.repeated_passages(table(spark, d, "documents")),
     "op10_fuzzy_lines": lambda spark, d: lines.report(table(spark, d, "documents")),
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
+    "secret_rescan": lambda spark, d: secrets.rescan_documents(table(spark, d, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {
     # Every item of the table has five words or more.

@@ -1,10 +1,11 @@
 """Secret scan over an incremental ledger of content-addressed blobs.
 
 Every version of a file is named by the SHA-256 of its text. The ledger has a
-row per blob and scan: the rule versions that were applied and the spans they
-found. A scan takes the distinct blobs of the given versions, drops the rule
+row per blob and scan: the rule versions that were applied and the spans that
+each of them found. A scan takes the distinct blobs of the given versions, drops the rule
 versions that the ledger already has for a blob, searches only what is left,
-appends to the ledger, and joins all findings back to every path.
+appends to the ledger, and joins what the rule versions now in force have found
+back to every path; findings of versions that no longer are stay in the ledger.
 
 Positions come from built-in functions alone: for a pattern without look-around
 the pieces that ``split`` leaves and the matches that ``regexp_extract_all``
@@ -53,7 +54,8 @@ MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----", 0, 27),
 )
 SPANS = "array<struct<start:long,rule:int,kind:string,end:long>>"
-LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
+#: In the ledger a span names the rule and version that found it.
+LEDGER = "blob binary, rules array<string>, spans array<struct<start:long,rule:string,kind:string,end:long>>"
 
 
 def blob_of(text: str) -> F.Column:
@@ -81,12 +83,13 @@ def search(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("m.gap") + size).over(run))
     least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("rule") + 1)
     kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rule") + 1)
-    span = F.when(F.col("m.val") >= least, F.struct((F.col("end") - size).cast("long").alias("start"), F.col("rule"), kind.alias("kind"), F.col("end").cast("long").alias("end")))
+    key = F.element_at(F.array(*(F.lit(r.key) for r in rules)), F.col("rule") + 1)
+    span = F.when(F.col("m.val") >= least, F.struct((F.col("end") - size).cast("long").alias("start"), key.alias("rule"), kind.alias("kind"), F.col("end").cast("long").alias("end")))
     return rows.groupBy("blob").agg(F.first("due").alias("rules"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan(versions: DataFrame, ledger_path: str, path: str = "path", text: str = "text", rules: Sequence[Rule] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """Findings of every version: ``path`` and spans, sorted by start and then by rule.
+    """Findings of every version under ``rules``: ``path`` and spans, sorted by start and then by rule.
 
     ``versions`` has a row per path and historical version. The ledger is a
     Parquet folder that grows by what had not been scanned before.
@@ -102,12 +105,13 @@ def scan(versions: DataFrame, ledger_path: str, path: str = "path", text: str =
     else:
         blobs = blobs.withColumn("due", keys)
     search(blobs, rules).write.mode("append").parquet(ledger_path)
-    wanted = F.array(*(F.lit(r.kind) for r in rules))
-    known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.size("spans") > 0)
+    # A rule's place in the list orders spans of one start; spans of other versions have none.
+    place = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)))
+    current = F.filter(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.try_element_at(place, s["rule"]).alias("rule"), s["kind"].alias("kind"), s["end"].alias("end"))), lambda s: s["rule"].isNotNull())
+    known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.size("spans") > 0).withColumn("spans", current)
     known = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     found = named.select(path, "blob").join(known, "blob", "left")
-    spans = F.filter(F.coalesce("spans", F.array().cast(SPANS)), lambda s: F.array_contains(wanted, s["kind"]))
-    return found.select(path, F.hex("blob").alias("blob"), spans.alias("spans"))
+    return found.select(path, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def has_ledger(spark, path: str) -> bool:
@@ -130,3 +134,21 @@ def digest(findings: DataFrame) -> DataFrame:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """Documents as the versions of a first scan, with a ledger of their own in the shared folder."""
     return digest(scan(docs, shared_path(docs.sparkSession, "ledger"), path="doc_id"))
+
+
+def rescan_documents(docs: DataFrame) -> DataFrame:
+    """Documents scanned as a first commit, then a second commit in which every third one has a new last line.
+
+    doc_id, commit, n_spans of every version of both commits, and scanned, the
+    number of blobs that the second scan had to search: those that the ledger
+    didn't know yet.
+    """
+    spark, ledger = docs.sparkSession, shared_path(docs.sparkSession, "ledger")
+    scan(docs, ledger, path="doc_id")
+    before = spark.read.schema(LEDGER).parquet(ledger).count()
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\ntoken=rotated-"), F.col("doc_id").cast("string"))
+    changed = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, line).otherwise(F.col("text")).alias("text"))
+    commits = docs.select("doc_id", "text", F.lit(1).alias("commit")).union(changed.withColumn("commit", F.lit(2)))
+    found = scan(commits.select(F.struct("doc_id", "commit").alias("path"), "text"), ledger)
+    scanned = spark.read.schema(LEDGER).parquet(ledger).count() - before
+    return found.select("path.doc_id", "path.commit", F.size("spans").alias("n_spans"), F.lit(scanned).alias("scanned"))

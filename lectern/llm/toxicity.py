@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.boosting import Boosted, Isotonic
-from lectern.llm.common import durable
+from lectern.llm.common import durable, share_of
 
 #: Labelled documents to learn from, at most about so many.
 SAMPLE = 16_000
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(known.count(), 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = known.where(share_of(share, "doc_id", F.lit(7)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = rows.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), F.pmod(F.xxhash64("text", F.lit(5)), F.lit(4)).cast("int").alias("fold"))
     rows = durable(rows.dropDuplicates(["text", "toxic"]))

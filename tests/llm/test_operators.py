@@ -121,6 +121,32 @@ def test_mixing(spark, docs, corpus):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_drawn_corpus_is_what_the_tree_placed(spark, docs, corpus):
+    settings = {"block_docs": 8, "seed": 5}
+    plan = mixing.mix(docs, **settings).collect()
+    drawn = mixing.draw(docs.withColumns({"piece": F.lit(1), "document": F.lit(2)}), shards=16, **settings)
+    assert drawn.columns == [*docs.columns, "piece", "document", "shard", "pass", "words"]
+    rows = drawn.collect()
+    key = lambda i, w, p, s: (str(i), w, p, s)
+    assert sorted(key(r["doc_id"], r["words"], r["pass"], r["shard"]) for r in rows) == sorted(key(r["doc_id"], p["words"], p["pass"], p["shard"]) for r in plan for p in r["placements"])
+    assert all(len(WORD.findall(r["text"])) == r["words"] for r in rows)
+    whole = {t for _, t, *_ in corpus if t}
+    assert all(r["text"] in whole or any(t.startswith(r["text"]) for t in whole) for r in rows)
+    # Shards hold as many blocks, so about as many words where blocks are even.
+    assert len({r["shard"] for r in rows}) > 8
+    assert mixing.draw(empty(spark)).count() == 0
+
+
+def test_mixing_rows_of_one_doc_id(spark):
+    docs = made(spark, [(None, f"some words of text {i}", "en", "a") for i in range(40)] + [(7, f"others {i} " * 9, "en", "b") for i in range(40)] + [(8, "same", "en", "b")] * 5)
+    rows = mixing.mix(docs, block_docs=4).collect()
+    assert len(rows) == 85 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    for s in "ab":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+    assert len(mixing.draw(docs, block_docs=4).collect()) == sum(len(r["placements"]) for r in rows)
+
+
 def test_splitting_tree_is_exact():
     parts = mixing.split_quotas([100, 7, 0, 33], 6, 1)
     assert parts.sum(axis=0).tolist() == [100, 7, 0, 33] and set(parts.sum(axis=1)) <= {23, 24}
@@ -157,10 +183,21 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 3
     more = secrets.scan(versions(("a", "token=abcdefgh " + "0" * 32), ("b", "nothing")), ledger, rules=secrets.BASE_RULES)
     assert {r["path"]: [s["kind"] for s in r["spans"]] for r in more.collect()} == {"a": ["assign", "hex"], "b": []}
+    # A rule's new version replaces what the old one found.
+    bumped = [secrets.BASE_RULES[0]._replace(version=2, pattern="(?i)(never)(here)")]
+    assert [r["spans"] for r in secrets.scan(versions(("a", "token=abcdefgh"),), ledger, rules=bumped).collect()] == [[]]
+    assert [len(r["spans"]) for r in secrets.scan(versions(("a", "token=abcdefgh"),), ledger, rules=secrets.BASE_RULES[:1]).collect()] == [1]
     last = spark.read.parquet(ledger).where(F.size("rules") == 2).collect()
     assert [sorted(r["rules"]) for r in last] == [["access@1", "hex@1"]]
 
 
+def test_secret_rescan(spark):
+    rows = [(i, "password=hunter22222" if i % 2 else "", "en", "s") for i in range(12)]
+    got = secrets.rescan_documents(made(spark, rows)).collect()
+    assert {(r["doc_id"], r["commit"]): r["n_spans"] for r in got} == {(i, c): i % 2 + (c == 2 and i % 3 == 0) for i in range(12) for c in (1, 2)}
+    assert {r["scanned"] for r in got} == {4}
+
+
 def test_token_counts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -369,8 +406,9 @@ def test_lines(spark):
         (6, None, "en", "s"), (7, "", "en", "s"), (None, "same line here", "en", "s"), (8, "la la la la\nla la la la la la la la", "en", "s"), (2, "same LINE here\nsecond", "en", "s"),
     ]
     docs = made(spark, rows)
-    got = lines.without_repeats(docs)
-    assert got.columns == [*docs.columns, "dropped"] and got.count() == len(rows)
+    docs = docs.withColumns({"dropped": F.lit("own"), "gone": F.lit(1), "id": F.lit(2)})
+    got = lines.without_repeats(docs, length="n_chars").cache()
+    assert got.columns == docs.columns and got.count() == len(rows) and got.where("dropped <> 'own' or gone <> 1 or id <> 2 or n_chars <> coalesce(length(text), 0)").count() == 0
     text = {r["doc_id"]: r["text"] for r in got.collect()}
     assert text[1] == "Same line, here!\nonly one\n\n---" and text[2] == "second" and text[3] == "item 17" and text[6] is None and text[7] == ""
     assert text[None] == "same line here" and text[4] == long_line and text[8].count("\n") == 1
@@ -397,29 +435,68 @@ def test_line_similarity_is_the_edit_distance(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 50 < len(want) < 1700
 
 
-def test_line_links_match_all_pairs(spark):
+def brute_lines(rows):
+    """The lines that go, by edit distance between all pairs: (doc_id, line) of all but the first occurrence of each group."""
+    form = lambda line: " ".join(re.sub(r"\d+", "0", w) for w in re.findall(r"[^\W_]+", line.lower()))
+    at = [(i, k, form(line)) for i, t in rows for k, line in enumerate(t.split("\n")) if form(line)]
+    names = sorted({f for *_, f in at})
+    parent = {f: f for f in names}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    def distance(a, b, most):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+            if min(row) > most:
+                return most + 1
+        return row[-1]
+
+    links = 0
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            if abs(len(a) - len(b)) <= most and len(set(a.split()) & set(b.split())) * 2 >= len(set(a.split())) and distance(a, b, most) <= most:
+                links += 1
+                parent[find(a)] = find(b)
+    first = {}
+    for i, k, f in sorted(at):
+        first.setdefault(find(f), (i, k))
+    return {(i, k) for i, k, f in at if first[find(f)] != (i, k)}, links
+
+
+def test_lines_against_all_pairs(spark):
     rng = random.Random(9)
-    base = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.choice("uvwxyz")) * 2 for _ in range(60)) for _ in range(6)]
-    forms = sorted({" ".join(w if rng.random() > 0.01 else "zzz" for w in b.split()) for b in base for _ in range(25)})
-    docs = made(spark, [(i, f, "en", "s") for i, f in enumerate(forms)])
-    found = lines.durable(lines.occurrences(docs))
-    nodes = found.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "line")).alias("first"))
-    rows = [(r["doc_id"], r["node"], r["fp"]) for r in found.collect()]
-    got = {r["node"]: r["component"] for r in components(lines.near_links(docs, nodes, 0.8)).collect()}
-    parent = {n: n for _, n, _ in rows}
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for i, a, p in rows:
-        for j, b, q in rows:
-            same = sum(x == y for x, y in zip(forms[i].split(), forms[j].split(), strict=True))
-            if a < b and ((p ^ q) & ((1 << 64) - 1)).bit_count() <= 3 and same >= 50:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert {n: got.get(n, n) for n in parent} == {n: find(n) for n in parent} and len(set(got.values())) < len(parent)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    base = [[word() for _ in range(n)] for n in (4, 5, 6, 8, 9, 12, 15, 20, 30, 40) for _ in range(2)]
+    lines_of = []
+    for b in base:
+        for _ in range(6):
+            w = list(b)
+            for _ in range(rng.randrange(1 + len(b) // 8)):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind > 0)] = [] if kind == 2 and len(w) > 4 else [word()]
+            lines_of.append(" ".join(w))
+    rng.shuffle(lines_of)
+    rows = [(i, "\n".join(lines_of[i * 4 : i * 4 + 4])) for i in range(30)]
+    want, links = brute_lines(rows)
+    got = {(r["doc_id"], k) for r in lines.dropped_lines(made(spark, [(i, t, "en", "s") for i, t in rows])).collect() for k in r["dropped"]}
+    assert links > 100 and len(want - got) <= 0.1 * len(want) and not got - want
+
+
+def test_lines_that_many_share_and_very_long_ones(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    common, long = "a line that stands in every single document here", " ".join(word() for _ in range(4000))
+    rows = [(i, f"{common}\n{word()} {word()} {word()} {word()} {word()}", "en", "s") for i in range(60)]
+    rows += [(100, long, "en", "s"), (101, long.replace(long[:6], "changed"), "en", "s")]
+    got = {(r["doc_id"], tuple(r["dropped"])) for r in lines.dropped_lines(made(spark, rows)).collect()}
+    assert got == {(i, (0,)) for i in range(1, 60)} | {(101, (0,))}
 
 
 def test_ann_recall_and_order(spark):
