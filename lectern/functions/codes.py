@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.text import squash
+
 # Levels in use and the form of a code.
 LEVELS = ("B", "C", "E", "W", "UN", "GU", "GR")
 BODY = r"(?:[A-Z]{2,4}[\s_-]+(?:UN|GU|GR|[A-Z])[\s_-]*\d{4}|[A-Z]{2,4}(?:UN|GU|GR|[A-Z])\d{4})"
 SEPARATED = r"(?i)^\s*([A-Z]{2,4})[\s_-]+(UN|GU|GR|[A-Z])[\s_-]*(\d{4})\s*$"
 COMPACT_TWO = r"(?i)^\s*([A-Z]{2,4})(UN|GU|GR)(\d{4})\s*$"
+#: A crawled title line: a code of a looser form, then the title.
+TITLE_LINE = (r"^([A-Z]{2,6}\s+[A-Z]{0,3}\d{4}[A-Z]?)\s+(.*)$", r"^([A-Z]{2,6}\s+\d{4}[A-Z]?)\s+(.*)$")
+TITLE_POINTS = r"(?i)(\d+(?:\.\d+)?(?:-\d+(?:\.\d+)?)?\s+points?)\s*\.?\s*$"
 COMPACT_ONE = r"(?i)^\s*([A-Z]{2,4})([A-Z])(\d{4})\s*$"
 
 
@@ -52,3 +57,16 @@ def department(code: Column) -> Column:
 def level(code: Column) -> Column:
     """The four digits that end a code, 9999 without."""
     return F.coalesce(F.regexp_extract(F.coalesce(code, F.lit("")), r"(\d{4})\s*$", 1).try_cast("int"), F.lit(9999))
+
+
+def title_line(line: Column) -> Column:
+    """Struct code, title, points and issues of a crawled title line such as ``COMS W1004 Introduction. 3 points``."""
+    raw = squash(line)
+    points = squash(F.regexp_extract(raw, TITLE_POINTS, 1))
+    head = F.when(points != "", F.regexp_replace(squash(F.regexp_replace(raw, TITLE_POINTS, "")), r"[.\s]+$", "")).otherwise(raw)
+    found = [(F.regexp_extract(head, p, 1), F.regexp_extract(head, p, 2)) for p in TITLE_LINE]
+    code = F.when(found[0][0] != "", found[0][0]).otherwise(found[1][0])
+    rest = F.when(found[0][0] != "", found[0][1]).when(found[1][0] != "", found[1][1]).otherwise(head)
+    title = F.regexp_replace(rest, r"^[ .]+|[ .]+$", "")
+    issues = F.array_compact(F.array(F.when(points == "", "missing_points_in_title"), F.when(code == "", "missing_course_code_or_title"), F.when(title == "", "empty_title")))
+    return F.struct(squash(code).alias("code"), title.alias("title"), points.alias("points"), issues.alias("issues"))

@@ -87,3 +87,13 @@ def ranges_overlap(actual_min: Column, actual_max: Column, wanted_min: float | N
 def answer_budget(rows: Column) -> Column:
     """Tokens allowed for an answer about ``rows`` courses."""
     return F.greatest(F.lit(768), F.least(F.lit(4096), F.lit(512) + 120 * rows))
+
+
+def crawled_points(text: Column) -> Column:
+    """Struct lo, hi of a crawler's points cell: a number or two joined by a hyphen, after the word points is taken out; null otherwise."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "points|point", ""), r"^[.\s]+|[.\s]+$", ""))
+    number = lambda x: F.nullif(F.trim(x), F.lit("")).try_cast("double")
+    left, right = F.regexp_extract(clean, "(?s)^([^-]*)-(.*)$", 1), F.regexp_extract(clean, "(?s)^([^-]*)-(.*)$", 2)
+    lo = F.when(clean.contains("-"), number(left)).otherwise(number(clean))
+    hi = F.when(clean.contains("-"), number(right)).otherwise(number(clean))
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))

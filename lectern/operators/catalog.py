@@ -125,6 +125,7 @@ def enrich(courses: DataFrame, names: dict[str, str] | None = None) -> DataFrame
     """The index: one row per course with its published sections apart from those to review.
 
     ``courses`` has the detail columns and ``sections``, an array of SECTION.
+    The index holds what queries rank and filter by, so that they read no more.
     """
     all_sections = F.transform(F.coalesce("sections", F.array().cast(f"array<{SECTION}>")), section_summary)
     rows = courses.withColumn("checked", all_sections).withColumns({
@@ -138,6 +139,7 @@ def enrich(courses: DataFrame, names: dict[str, str] | None = None) -> DataFrame
         "catalog_validation_warnings": course_warnings(F.col("needs_review"), F.col("course_review_warnings"), F.col("parse_warnings")),
     })
     rows = rows.withColumn("catalog_validation_status", course_status(F.col("catalog_validation_warnings")))
+    rows = rows.withColumn("quality", quality_score(F.col("title"), F.col("course_code"), F.col("has_description"), F.col("sections_summary")))
     return rows.withColumn("searchable_text", searchable_text(names or {})).drop("checked", "sections")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from lectern.functions.schedule import has_clock_range
 from lectern.functions.codes import is_code, normalize_code
 from lectern.functions.credits import MAX_POINTS, points_value
 
@@ -77,6 +79,40 @@ def nearest_pairs(left: DataFrame, right: DataFrame, key: str, at: str, right_id
     return pairs.withColumn("gap", gap).groupBy(*keep).agg(F.min(F.struct("gap", "right_at", "right_id")).alias("m")).select(*keep, "m.right_at", "m.right_id")
 
 
+def bounded_pairs(left: DataFrame, right: DataFrame, key: str, at: str, end: str, right_at: str, right_id: str, most: int) -> DataFrame:
+    """Forward as-of join inside a key: each left span with the first right row from its end on, before the next left row, at most ``most`` further on.
+
+    Both sides are rows of one ordered list, so a window of each key finds the
+    next left row and the first right row after each: no pair is built that
+    isn't the answer. Left rows without a partner of their own are left out. Of
+    right rows at one place the smallest id counts.
+    """
+    keep = [c for c in left.columns if c != key]
+    lefts = left.select(F.col(key).alias("k"), F.col(end).alias("place"), F.lit(0).alias("side"), F.struct(*keep).alias("row"), F.lit(None).cast(right.schema[right_id].dataType).alias("rid"))
+    ordered = W.partitionBy("k").orderBy(F.col(f"row.{at}"))
+    lefts = lefts.withColumn("until", F.lead(F.col(f"row.{at}")).over(ordered))
+    rights = right.select(F.col(key).alias("k"), F.col(right_at).cast(left.schema[end].dataType).alias("place"), F.lit(1).alias("side"), F.lit(None).cast(lefts.schema["row"].dataType).alias("row"), F.col(right_id).alias("rid"), F.lit(None).cast(lefts.schema["until"].dataType).alias("until"))
+    ahead = W.partitionBy("k").orderBy("place", "side", "rid").rowsBetween(1, W.unboundedFollowing)
+    partner = F.first(F.when(F.col("side") == 1, F.struct(F.col("place").alias("right_at"), F.col("rid").alias("right_id"))), ignorenulls=True).over(ahead)
+    found = lefts.unionByName(rights).withColumn("partner", partner).where("side = 0 and partner is not null")
+    found = found.where((F.col("until").isNull() | (F.col("partner.right_at") < F.col("until"))) & (F.col("partner.right_at") - F.col("place") <= most))
+    return found.select(F.col("k").alias(key), "row.*", "partner.*")
+
+
+def matching_pairs(claims: DataFrame, pairs: DataFrame, by: list[str], distance: str, kept: list[str]) -> DataFrame:
+    """Each claim with the pair that says the same in columns ``by`` (whatever the case) at the least distance; the first of ``kept`` of several."""
+    folded = lambda t: [F.lower(F.trim(F.col(f"{t}.{c}"))) for c in by]
+    same = [a == b for a, b in zip(folded("c"), folded("p"), strict=True)]
+    rows = claims.alias("c").join(pairs.alias("p"), same)
+    best = F.min(F.struct(F.col(f"p.{distance}"), *(F.col(f"p.{k}") for k in kept))).alias("best")
+    return rows.groupBy(*(F.col(f"c.{c}") for c in claims.columns)).agg(best).select(*claims.columns, "best.*")
+
+
+def reviewable(problem: Column, times: Column) -> Column:
+    """Whether a section's error is worth a review: times that hold a clock range beside something else."""
+    return (problem == "invalid_times") & has_clock_range(times)
+
+
 def points_conflict(section_lo: Column, section_hi: Column, course_lo: Column, course_hi: Column) -> Column:
     """Whether a section's points leave the course's range."""
     return F.coalesce((section_lo < course_lo - 1e-9) | (section_hi > course_hi + 1e-9), F.lit(False))

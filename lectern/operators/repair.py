@@ -17,17 +17,33 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, guard: list[str
     return a.join(b, F.col("a_key") == F.col("b_key"), "full_outer").select(F.coalesce("a_key", "b_key").alias(key), kind.alias("kind"))
 
 
-def set_digest(rows: DataFrame, columns: list[str], buckets: int = 4096) -> DataFrame:
-    """One row: a digest that doesn't depend on the order of rows.
+def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: n_rows and a digest of the rows that doesn't depend on their order.
 
-    Rows are hashed, sorted inside ``buckets`` ranges of their hash, and the
-    buckets' digests are joined in order, so no task holds all rows' hashes.
+    The digest adds up two halves of each row's SHA-256 as numbers, repeats
+    included, so it is a sum like any other: added up where rows are read, and
+    no row's hash is gathered.
     """
-    line = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256).alias("h")
-    inner = rows.select(line).groupBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("bucket"))
-    parts = inner.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("part"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda s: s["part"])
-    return parts.agg(F.sha2(F.array_join(listed, ""), 256).alias("digest"))
+    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    h = F.sha2(line, 256)
+    part = lambda i: F.sum(F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), part(1).cast("string").alias("digest_a"), part(16).cast("string").alias("digest_b"))
+
+
+def repair_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row of a repair: sections and shifted ones before and after, and keys whose sections changed; columns ``errors`` and ``payload``."""
+    count = lambda df, side: df.agg(F.count(F.lit(1)).alias(f"sections_{side}"), F.count_if(shifted(F.col("errors"))).alias(f"shifted_{side}"))
+    digest = lambda df, side: df.groupBy(key).agg(F.sum(F.xxhash64("payload").cast("decimal(38,0)")).alias(side))
+    changed = digest(before, "a").join(digest(after, "b"), key, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).agg(F.count(F.lit(1)).alias("changed"))
+    return count(before, "before").join(count(after, "after")).join(changed)
+
+
+def rebuilt(index: DataFrame, repaired: DataFrame, derived: list[str], key: str = "course_uid") -> DataFrame:
+    """The index with its derived columns taken from repaired rows, all else as it was; a key without a repaired row is an error."""
+    fresh = repaired.select(key, F.lit(True).alias("here"), *derived)
+    rows = index.drop(*derived).join(fresh, key, "left")
+    there = F.when(F.col("here"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no repaired row of "), F.col(key))).cast(index.schema[key].dataType))
+    return rows.withColumn(key, there).select(*index.columns)
 
 
 def duplicate_histogram(rows: DataFrame, key: Column) -> DataFrame:
@@ -36,6 +52,12 @@ def duplicate_histogram(rows: DataFrame, key: Column) -> DataFrame:
     return counts.groupBy("copies").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+def duplicate_excess(rows: DataFrame, key: Column) -> DataFrame:
+    """One row: keys that occur more than once, and rows beyond the first of each."""
+    counts = rows.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return counts.agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("excess"))
+
+
 def shifted(errors: Column) -> Column:
     """Whether a section's columns are shifted: its points can't be read."""
     return F.array_contains(errors, "invalid_points")

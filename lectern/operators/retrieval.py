@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,11 @@ class Filters:
     points_max: float | None = None
     keywords: tuple[str, ...] = field(default=())
 
+    @property
+    def anchored(self) -> bool:
+        """Whether anything at all is asked for."""
+        return bool(self.course_codes or self.department or self.schedule or self.points or any(k.strip() for k in self.keywords))
+
     @property
     def schedule(self) -> bool:
         return bool(self.term or self.days or self.time_of_day or self.instructor)
@@ -69,7 +74,8 @@ def section_matches(s: Column, f: Filters, points: bool = True) -> Column:
 
 def visible(index: DataFrame) -> DataFrame:
     """Rows of published courses; a missing status counts as published."""
-    return index.where(F.coalesce("catalog_validation_status", F.lit("published")) == "published")
+    status = F.col("catalog_validation_status")
+    return index.where(status.isNull() | (status == "published"))
 
 
 def stage1(index: DataFrame, f: Filters) -> DataFrame:
@@ -82,7 +88,8 @@ def stage1(index: DataFrame, f: Filters) -> DataFrame:
     if f.course_codes:
         rows = rows.where(F.upper("course_code").isin(*(c.strip().upper() for c in f.course_codes)))
     if f.department:
-        rows = rows.where(F.lower("department_prefix") == f.department.strip().lower())
+        # Prefixes are upper-case in the index; a bare column lets the scan skip row groups.
+        rows = rows.where(F.col("department_prefix") == f.department.strip().upper())
     fits = F.filter("sections_summary", lambda s: section_matches(s, f, points=False)) if f.schedule else F.col("sections_summary")
     rows = rows.withColumn("matched_sections", fits)
     if f.schedule:
@@ -96,9 +103,37 @@ def stage1(index: DataFrame, f: Filters) -> DataFrame:
 
 
 def quality() -> Column:
+    """Quality of a row, computed; the index holds it as ``quality``."""
     return quality_score(F.col("title"), F.col("course_code"), F.col("has_description"), F.col("sections_summary"))
 
 
+def with_quality(index: DataFrame) -> DataFrame:
+    return index if "quality" in index.columns else index.withColumn("quality", quality())
+
+
+def retrieve(index: DataFrame, details: DataFrame, f: Filters, limit: int = 5) -> DataFrame:
+    """Ranked courses that fit, with their details: filter, rank, look details up, test them again, then limit.
+
+    Filters that ask for nothing find nothing. Keywords rank the courses that
+    other filters leave; alone they filter. ``details`` (course_uid and columns
+    that replace those of the index, as after an overlay) may lack a course,
+    which then is dropped, or show that it doesn't fit any more; so the limit
+    comes last. Adds ``place``, from 1.
+    """
+    if not f.anchored:
+        return index.withColumns({"matched_sections": F.col("sections_summary"), "place": F.lit(1)}).limit(0)
+    filters = replace(f, keywords=())
+    found = stage1(index, filters).drop("matched_sections")
+    fresh = [c for c in details.columns if c != "course_uid"]
+    found = found.drop(*(c for c in fresh if c in found.columns and c != "quality")).join(details, "course_uid")
+    found = stage1(found, filters).withColumn("score", keyword_score(f.keywords))
+    if f.keywords and not filters.anchored:
+        found = found.where("score > 0")
+    order = [F.desc("score"), F.desc("quality"), level(F.col("course_code")), "course_code", "title", "course_uid"]
+    best = with_quality(found).orderBy(*order).limit(limit)
+    return best.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
 def keyword_score(keywords: Sequence[str]) -> Column:
     """5 for a keyword in the code, 3 in the title, 1 in the searchable text, plain containment."""
     score = F.lit(0)
@@ -113,7 +148,7 @@ def keyword_topk(index: DataFrame, keywords: Sequence[str], limit: int | None =
 
     Equal rows are ordered by quality, level, code, title and uid.
     """
-    rows = visible(index).withColumn("quality", quality()).withColumn("score", keyword_score(keywords))
+    rows = with_quality(visible(index)).withColumn("score", keyword_score(keywords))
     if any(w and w.strip() for w in keywords):
         rows = rows.where(F.col("score") >= min_score)
     else:
@@ -125,7 +160,7 @@ def keyword_topk(index: DataFrame, keywords: Sequence[str], limit: int | None =
 
 def quality_sort(index: DataFrame, limit: int | None = None) -> DataFrame:
     """Courses by quality, level, code and uid."""
-    rows = visible(index).withColumn("quality", quality()).orderBy(F.desc("quality"), level(F.col("course_code")), "course_code", "course_uid")
+    rows = with_quality(visible(index)).orderBy(F.desc("quality"), level(F.col("course_code")), "course_code", "course_uid")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -155,6 +190,39 @@ def beginner_order(rows: DataFrame, order: Sequence) -> DataFrame:
 
 
 def extreme_with_ties(rows: DataFrame, value: str, least: bool = True) -> DataFrame:
-    """All rows with the smallest (largest) known value; rows of unknown value never win."""
+    """All rows with the smallest (largest) known value; rows of unknown value never win (``unknown_rows`` lists those)."""
     edge = rows.agg((F.min if least else F.max)(value).alias("edge"))
     return rows.join(F.broadcast(edge), F.col(value) == F.col("edge")).drop("edge")
+
+
+def unknown_rows(rows: DataFrame, value: str) -> DataFrame:
+    """The rows that an extreme leaves out because their value isn't known."""
+    return rows.where(F.col(value).isNull())
+
+
+# Fixed value: keywords that ask for more of the same.
+GENERIC = ("other", "another", "more", "additional", "else")
+
+
+def ambiguous_recommendation(intent: Column, generic: Sequence[str] = GENERIC) -> Column:
+    """Whether a recommendation names no department, code or topic of its own."""
+    words = F.filter(F.transform(F.coalesce(intent["keywords"], F.array().cast("array<string>")), lambda w: F.lower(F.trim(w))), lambda w: w != "")
+    named = (F.coalesce(intent["department"], F.lit("")) != "") | (F.size(F.coalesce(intent["course_codes"], F.array().cast("array<string>"))) > 0)
+    return (F.lower(F.coalesce(intent["query_type"], F.lit(""))) == "recommend") & ~named & F.forall(words, lambda w: w.isin(*generic))
+
+
+def at_positions(results: DataFrame, ordinals: DataFrame, key: str, position: str = "position") -> DataFrame:
+    """Rows of earlier results that ordinals (key, ordinal, nth: its order in the question) name; an ordinal beyond them names none."""
+    return ordinals.join(results, [key]).where(F.col("ordinal") == F.col(position))
+
+
+def counted_reference(results: DataFrame, key: str, uid: str, wanted: str) -> DataFrame:
+    """Results of keys whose number of results is the number asked for (``wanted``), each uid once and none blank; other keys have none."""
+    fits = results.groupBy(key).agg(
+        (F.count(F.lit(1)) == F.max(wanted)).alias("as_many"), (F.count_distinct(uid) == F.count(F.lit(1))).alias("distinct"), F.bool_and(F.coalesce(F.trim(uid), F.lit("")) != "").alias("named"))
+    return results.join(fits.where("as_many and distinct and named").select(key), key, "left_semi")
+
+
+def codes_of_winners(basis: DataFrame, winners: DataFrame, uid: str = "course_uid", order: str = "position") -> DataFrame:
+    """Rows of the basis whose uid is among the winners, in the basis' order."""
+    return basis.join(winners.select(uid).distinct(), uid, "left_semi").orderBy(order)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lectern import session
 from lectern.functions import codes, credits, prerequisites, schedule, suitability, text, web
 from lectern.operators import analytics, answers, catalog, conversation, crawl, importing, overlays, repair, retrieval
-from lectern.plans import intent, projection
+from lectern.plans import intent, language, projection, validation
+from lectern.sources import indexes
 from lectern.streaming import protocol, rate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,9 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    """The index as a materialised view: filters on it repeat no validation."""
-    return session.materialised(enriched(spark, d))
+    """The index, built once from these tables and then read: filters reach its scan."""
+    inputs = [f"{d}/{t}.parquet" for t in ("part", "documents", "lineitem", "supplier")]
+    return indexes.built(spark, "courses", inputs, lambda: enriched(spark, d), ["department_prefix", "course_uid"])
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +231,63 @@ def _(spark, d):
     return retrieval.with_metadata(projection.courses(spark, d).select("course_uid", "course_code"), ["course_code", "course_uid"], 5).drop("course_code")
 
 
+@query("index_build", "SELECT department_prefix, count(*) AS n, sum(CASE WHEN description IS NOT NULL AND trim(description) <> '' THEN 1 ELSE 0 END)::bigint AS described FROM course GROUP BY 1", True)
+def _(spark, d):
+    return index(spark, d).groupBy("department_prefix").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_description").alias("described"))
+
+
+@query("retrieve_details", f""", {QUALITY} SELECT q.course_uid, row_number() OVER (ORDER BY score DESC, quality DESC, level, course_code, title, q.course_uid)::int AS place, score::int AS score FROM (
+ SELECT *, CASE WHEN contains(lower(title), 'seminar') THEN 4 ELSE 0 END AS score FROM quality WHERE {VISIBLE} AND department_prefix = 'SMAL' AND p_partkey % 10 <> 0 AND points_min <= 2 AND points_max >= 1) q
+ WHERE EXISTS (SELECT 1 FROM section s WHERE s.course_uid = q.course_uid AND published AND tod = 'morning') QUALIFY place <= 8""", True)
+def _(spark, d):
+    # Every tenth course has no details; details say that points are those of the catalogue, whatever sections say.
+    details = projection.courses(spark, d).where("p_partkey % 10 <> 0").select("course_uid", "points_min", "points_max")
+    rows = index(spark, d).withColumn("sections_summary", F.transform("sections_summary", lambda s: s.withField("points", F.lit(""))))
+    wanted = retrieval.Filters(department="SMAL", time_of_day="morning", points_min=1, points_max=2, keywords=("seminar",))
+    return retrieval.retrieve(rows, details, wanted, 8).select("course_uid", "place", "score")
+
+
+@query("no_anchor_guard", "SELECT course_uid FROM course WHERE false", True)
+def _(spark, d):
+    details = projection.courses(spark, d).select("course_uid")
+    return retrieval.retrieve(index(spark, d), details, retrieval.Filters(keywords=(" ",))).select("course_uid")
+
+
+@query("ordinal_lookup", """SELECT a.o_custkey AS conv, a.n AS nth, b.o_orderkey AS uid FROM (SELECT DISTINCT o_custkey, unnest([3, 1, 9]) AS k, unnest([1, 2, 3]) AS n FROM orders) a
+ JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders) b ON a.o_custkey = b.o_custkey AND a.k = b.position""")
+def _(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("conv"), F.col("o_orderkey").alias("uid"))
+    results = o.withColumn("position", F.row_number().over(W.partitionBy("conv").orderBy("uid")))
+    asked = o.select("conv").distinct().select("conv", F.posexplode(conversation.ordinals(F.lit("compare the third one with the first, then the 9th"))).alias("nth", "ordinal"))
+    return retrieval.at_positions(results, asked.withColumn("nth", F.col("nth") + 1), "conv").select("conv", "nth", "uid")
+
+
+@query("counted_reference", "SELECT o_custkey AS conv, o_orderkey AS uid FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 2 + o_custkey % 9)")
+def _(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("conv"), F.col("o_orderkey").cast("string").alias("uid"), (2 + F.col("o_custkey") % 9).alias("wanted"))
+    return retrieval.counted_reference(o, "conv", "uid", "wanted").select("conv", F.col("uid").cast("long").alias("uid"))
+
+
+@query("winner_codes", f"SELECT course_code, p_partkey AS position FROM course WHERE {{LEAST}} = (SELECT max({{LEAST}}) FROM course)".replace("{LEAST}", "CASE p_partkey % 7 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 0 END"), True)
+def _(spark, d):
+    rows = parsed_courses(spark, d).select("course_uid", "course_code", F.col("p_partkey").alias("position"), F.col("p.min_count").alias("n"))
+    return retrieval.codes_of_winners(rows, retrieval.extreme_with_ties(rows, "n", least=False)).select("course_code", "position")
+
+
+@query("extreme_unknown", "SELECT course_uid FROM course WHERE p_partkey % 7 IN (0, 6)", True)
+def _(spark, d):
+    return retrieval.unknown_rows(parsed_courses(spark, d).select("course_uid", F.col("p.min_count").alias("n")), "n").select("course_uid")
+
+
+@query("ambiguous_recommendation", "SELECT p_partkey, p_size % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 4 <> 1 AS ambiguous FROM part")
+def _(spark, d):
+    key, none = F.col("p_partkey"), F.array().cast("array<string>")
+    i = F.struct(
+        F.when(F.col("p_size") % 2 == 0, "Recommend").otherwise("search").alias("query_type"), F.when(key % 3 == 0, "COMS").alias("department"), none.alias("course_codes"),
+        F.when(key % 4 == 0, none).when(key % 4 == 1, F.array(F.lit("more"), F.col("p_name"))).otherwise(F.array(F.lit(" More"), F.lit("else"))).alias("keywords"))
+    return read(spark, d, "part").select("p_partkey", retrieval.ambiguous_recommendation(i).alias("ambiguous"))
+
+
 # Statistics
 
 @query("dept_stats", "SELECT department_prefix AS name, count(*) AS n FROM course GROUP BY 1 ORDER BY n DESC, name LIMIT 20", True)
@@ -289,9 +347,16 @@ def _(spark, d):
 
 # Scalar functions
 
-@query("code_extract", "SELECT course_uid, CASE WHEN p_partkey % 7 IN (2, 3, 5) THEN 2 WHEN p_partkey % 7 = 4 THEN 3 ELSE 0 END AS n_codes FROM course", True)
+def _next_code(n: int) -> str:
+    """SQL of the code ``n`` parts further on."""
+    return (f"department_prefix || ' ' || CASE (p_partkey + {n}) % 6 WHEN 0 THEN 'E' WHEN 1 THEN 'W' WHEN 2 THEN 'UN' WHEN 3 THEN 'GU' WHEN 4 THEN 'GR' ELSE 'B' END"
+            f" || cast(1000 + ((p_partkey + {n}) % 360) * 25 AS varchar)")
+
+
+@query("code_extract", f"""SELECT course_uid, CASE WHEN p_partkey % 7 IN (2, 3, 5) THEN {_next_code(1)} || ',' || {_next_code(2)}
+ WHEN p_partkey % 7 = 4 THEN {_next_code(1)} || ',' || {_next_code(2)} || ',' || {_next_code(3)} ELSE '' END AS codes FROM course""", True)
 def _(spark, d):
-    return projection.courses(spark, d).select("course_uid", F.size(codes.extract_codes(F.col("prerequisites_text"))).alias("n_codes"))
+    return projection.courses(spark, d).select("course_uid", F.array_join(codes.extract_codes(F.col("prerequisites_text")), ",").alias("codes"))
 
 
 @query("code_normalize", "SELECT course_uid, course_code AS normal FROM course", True)
@@ -330,9 +395,9 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(F.lower(text.unaccent(F.col("text"))).cast("binary")).alias("folded"))
 
 
-@query("whitespace_collapse", "SELECT doc_id, length(trim(regexp_replace(text, '[\\s ]+', ' ', 'g'))) AS n FROM documents")
+@query("whitespace_collapse", "SELECT doc_id, md5(trim(regexp_replace(text, '[\\s ]+', ' ', 'g'))) AS squashed FROM documents")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.length(text.squash(F.col("text"))).cast("long").alias("n"))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.squash(F.col("text")).cast("binary")).alias("squashed"))
 
 
 @query("clip_text", "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 63) || chr(10) || '...' || chr(10) || right(text, 32) END AS clipped FROM documents")
@@ -345,16 +410,16 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(text.escape_markdown(F.col("text")).cast("binary")).alias("escaped"))
 
 
-@query("html_visible_text", """SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+@query("html_visible_text", """SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?is)<nav\\b[^>]*>.*?</nav\\s*>', ' ', 'g'), '(?is)<footer\\b[^>]*>.*?</footer\\s*>', ' ', 'g'), '(?is)<header\\b[^>]*>.*?</header\\s*>', ' ', 'g'),
- '(?s)<[^>]+>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\\s ]+', ' ', 'g'))) AS n FROM pages""")
+ '(?s)<[^>]+>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\\s ]+', ' ', 'g'))) AS visible FROM pages""")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.length(web.visible_text(F.col("html"))).cast("long").alias("n"))
+    return read(spark, d, "pages").select("page_id", F.md5(web.visible_text(F.col("html")).cast("binary")).alias("visible"))
 
 
-@query("page_links", """SELECT page_id, len(regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1)) AS n FROM pages""")
+@query("page_links", """SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"''#]+)', 1), ' ') AS links FROM pages""")
 def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.size(web.links(F.col("html"))).cast("long").alias("n"))
+    return read(spark, d, "pages").select("page_id", F.array_join(web.links(F.col("html")), " ").alias("links"))
 
 
 @query("url_canonical", """SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z]+)://([^/]+)', '') AS path FROM pages""")
@@ -468,25 +533,25 @@ def _(spark, d):
 
 # Crawl and repair
 
-@query("merge_duplicates", """SELECT md5(lower(trim(text))) AS k, count(*) AS records, count(DISTINCT source) AS n_warnings, arg_max(doc_id, (length(text), -doc_id)) AS best FROM documents GROUP BY 1""")
+@query("merge_duplicates", """SELECT md5(lower(trim(text))) AS k, count(*) AS records, count(DISTINCT source) AS n_warnings, arg_max(doc_id, (length(trim(regexp_replace(text || chr(1) || doc_id, '[\\s\xa0]+', ' ', 'g'))), -doc_id)) AS best FROM documents GROUP BY 1""")
 def _(spark, d):
     docs = read(spark, d, "documents")
     rows = docs.select(F.md5(F.lower(F.trim("text")).cast("binary")).alias("k"), "doc_id", F.concat_ws("\u0001", F.col("text"), F.col("doc_id").cast("string")).alias("described"), "text", "source")
     rows = rows.select("k", "doc_id", F.col("described").alias("description"), F.lit("").alias("prerequisites_text"), F.lit("none").alias("prerequisites_source"), F.lit("").alias("notes_text"), F.lit(None).cast("array<string>").alias("sections"), F.array("source").alias("parse_warnings"))
     merged = crawl.merge_records(rows, "k", "doc_id")
     best = F.regexp_extract("description", "\u0001(\\d+)$", 1).cast("long")
-    # Texts of a group are equal up to outer blanks and case; the longer, then the earlier one describes it.
-    exact = docs.groupBy(F.md5(F.lower(F.trim("text")).cast("binary")).alias("k")).agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("best"))
-    return merged.withColumn("own", best).join(exact, "k").select("k", "records", F.size("parse_warnings").cast("long").alias("n_warnings"), "best")
+    return merged.select("k", "records", F.size("parse_warnings").cast("long").alias("n_warnings"), best.alias("best"))
 
 
-@query("registry_compaction", """SELECT user_id::varchar AS i_code, max(1) AS one, sum(n)::bigint AS seen_count, min(first_at) AS first_seen_at, max(last_at) AS last_seen_at FROM
+@query("registry_compaction", """SELECT user_id::varchar AS i_code, CASE WHEN user_id % 2 = 0 THEN user_id || '-new' ELSE arg_max(user_id || '-' || event_type, (last_at, n, user_id || '-' || event_type)) END AS dedup_key,
+ sum(n)::bigint AS seen_count, min(first_at) AS first_seen_at, max(last_at) AS last_seen_at FROM
  (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_at, max(event_id) AS last_at FROM events GROUP BY 1, 2) GROUP BY user_id""")
 def _(spark, d):
     rows = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("seen_count"), F.min("event_id").alias("first_seen_at"), F.max("event_id").alias("last_seen_at"))
-    registry = rows.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("dedup_key"), F.lit("2025").alias("bulletin_year"), F.col("user_id").cast("string").alias("course_code"), F.lit("https://h/a/").alias("source_page_url"), "seen_count", "first_seen_at", "last_seen_at")
-    current = registry.limit(0).select("bulletin_year", "course_code", "source_page_url", "dedup_key")
-    return crawl.compact_registry(registry, current).select("i_code", F.lit(1).alias("one"), "seen_count", "first_seen_at", "last_seen_at")
+    named = [F.lit("2025").alias("bulletin_year"), F.col("user_id").cast("string").alias("course_code"), F.lit("https://h/a/").alias("source_page_url")]
+    registry = rows.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("dedup_key"), *named, "seen_count", "first_seen_at", "last_seen_at")
+    current = rows.where("user_id % 2 = 0").select("user_id").distinct().select(F.concat(F.col("user_id").cast("string"), F.lit("-new")).alias("dedup_key"), *named)
+    return crawl.compact_registry(registry, current).select("i_code", "dedup_key", "seen_count", "first_seen_at", "last_seen_at")
 
 
 @query("registry_upsert", """SELECT user_id::varchar AS dedup_key, (bool_or(event_id % 2 = 0)::int + bool_or(event_id % 2 = 1)::int)::bigint AS seen_count FROM events GROUP BY 1""")
@@ -510,9 +575,31 @@ def _(spark, d):
     return repair.snapshot_diff(docs.where("doc_id % 5 <> 0"), after, "doc_id", ["source"], ["lang", "n_chars"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set_digest")
+@query("set_digest", """SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 15))::bigint)::varchar AS digest_a, sum(('0x' || substr(h, 16, 15))::bigint)::varchar AS digest_b
+ FROM (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderpriority) AS h FROM orders)""")
+def _(spark, d):
+    return repair.set_digest(read(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
+
+
+@query("duplicate_excess", "SELECT count(*) AS n_keys, coalesce(sum(copies - 1), 0)::bigint AS excess FROM (SELECT course_code, count(*) AS copies FROM course GROUP BY 1 HAVING count(*) > 1)", True)
+def _(spark, d):
+    return repair.duplicate_excess(projection.courses(spark, d), F.col("course_code"))
+
+
+@query("repair_summary", """SELECT (SELECT count(*) FROM lineitem) AS sections_before, (SELECT count(*) FROM lineitem WHERE l_linenumber = 3) AS shifted_before, (SELECT count(*) FROM lineitem WHERE l_quantity > 2) AS sections_after,
+ 0::bigint AS shifted_after, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING bool_or(l_linenumber = 3 OR l_quantity <= 2))) AS changed""")
+def _(spark, d):
+    line = read(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", F.col("l_orderkey").alias("o"))
+    wrong = F.when(F.col("l_linenumber") == 3, F.array(F.lit("invalid_points"))).otherwise(F.array().cast("array<string>"))
+    before = line.select("l_partkey", wrong.alias("errors"), F.struct("o", "l_linenumber", F.size(wrong).alias("n")).alias("payload"))
+    after = line.where("l_quantity > 2").select("l_partkey", F.array().cast("array<string>").alias("errors"), F.struct("o", "l_linenumber", F.lit(0).alias("n")).alias("payload"))
+    return repair.repair_summary(before, after, "l_partkey")
+
+
+@query("index_rebuilt", "SELECT course_uid, title, points_min + 1 AS points_min, level FROM course", True)
 def _(spark, d):
-    return repair.set_digest(read(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    rows = projection.courses(spark, d).select("course_uid", "title", "points_min", codes.level(F.col("course_code")).alias("level"))
+    return repair.rebuilt(rows, rows.select("course_uid", (F.col("points_min") + 1).alias("points_min")), ["points_min"])
 
 
 @query("page_reach", """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS source, o_orderkey % 1500 AS target FROM orders), r AS (SELECT 1::bigint AS url, 0 AS depth UNION SELECT l.target, depth + 1 FROM r JOIN l ON l.source = r.url WHERE depth < 3) SELECT url, min(depth)::int AS depth FROM r GROUP BY url""")
@@ -528,9 +615,9 @@ def _(spark, d):
     return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("anti_join_fk", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("anti_join_fk", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def _(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return read(spark, d, "customer").join(read(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("full_outer_classify", """SELECT CASE WHEN o_custkey IS NULL THEN 'unmatched' WHEN c_custkey IS NULL THEN 'extra' ELSE 'matched' END AS kind, count(*) AS n FROM customer FULL JOIN (SELECT DISTINCT o_custkey + 100 AS o_custkey FROM orders) ON c_custkey = o_custkey GROUP BY 1""")
@@ -603,6 +690,78 @@ def _(spark, d):
     return rows.select(F.col("id").cast("int").alias("id"), i["query_type"].alias("query_type"), i["department"].alias("department"), i["instructor"].alias("instructor"), i["term"].alias("term"), F.size(i["day_preference"]).alias("n_days"))
 
 
+@query("question_english", """SELECT p_partkey, q || CASE p_partkey % 4 WHEN 0 THEN ' computer science recommend courses' WHEN 1 THEN ' Monday morning' WHEN 2 THEN ' what courses Monday' ELSE '' END AS english FROM (
+ SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' 推荐计算机课程' WHEN 1 THEN ' el Lunes por la mañana' WHEN 2 THEN ' quels cours lundi' ELSE '' END AS q FROM part)""".replace("' Monday morning'", "' Monday morning morning'").replace("' computer science recommend courses'", "' computer science recommend courses'"))
+def _(spark, d):
+    tail = F.element_at(F.array(F.lit(" 推荐计算机课程"), F.lit(" el Lunes por la mañana"), F.lit(" quels cours lundi"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", language.with_english(F.concat("p_name", tail)).alias("english"))
+
+
+@query("department_named", """SELECT * FROM (VALUES (1, 'CIEN'), (2, 'IEOR'), (3, 'COMS'), (4, 'COMS'), (5, NULL), (6, 'MECE'), (7, 'EAEE'), (8, NULL), (9, 'APMA')) t(id, department)""")
+def _(spark, d):
+    asked = ["structural work in civil engineering", "operations research this spring", "cs课", "what does CS offer", "scs课", "robotics labs", "climate questions", "cs50课", "courses in APMA"]
+    return values(spark, list(enumerate(asked, 1)), ["id", "q"]).select(F.col("id").cast("int").alias("id"), language.department_named(F.col("q")).alias("department"))
+
+
+@query("intent_validation", """SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'query_type' WHEN 2 THEN 'course code' WHEN 3 THEN 'comparison_targets conflict' WHEN 4 THEN 'comparison_targets without compare'
+ WHEN 5 THEN 'department' WHEN 6 THEN 'points_range bounds' WHEN 7 THEN 'term' WHEN 8 THEN 'day_preference' ELSE 'not an intent' END AS problem FROM part""")
+def _(spark, d):
+    documents = [
+        '{"query_type": "search", "course_codes": ["coms-w4111"], "department": "coms", "points_range": [3, null], "day_preference": ["monday"], "term": "Fall 2025"}',
+        '{"query_type": "poem"}', '{"query_type": "detail", "course_codes": ["COMS 4111"]}',
+        '{"query_type": "compare", "course_codes": ["COMS W4111", "COMS W3134"], "comparison_targets": ["COMS W4111"]}', '{"query_type": "search", "comparison_targets": ["COMS W4111"]}',
+        '{"query_type": "search", "department": "XXXX"}', '{"query_type": "search", "points_range": [5, 2]}', '{"query_type": "search", "term": "2025 Fall"}', '{"query_type": "search", "day_preference": ["noday"]}', '["search"]']
+    document = F.element_at(F.array(*map(F.lit, documents)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", validation.problem(validation.parsed(document)).alias("problem"))
+
+
+@query("intent_choice", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'rules' WHEN p_partkey % 3 = 0 THEN 'model' ELSE 'minimal' END AS source, CASE WHEN p_partkey % 2 = 0 THEN 'detail' WHEN p_partkey % 3 = 0 THEN 'search' ELSE 'general' END AS query_type FROM part")
+def _(spark, d):
+    key = F.col("p_partkey")
+    rows = read(spark, d, "part").select("p_partkey", validation.chosen([("rules", F.when(key % 2 == 0, "detail")), ("model", F.when(key % 3 == 0, "search"))], F.lit("general")).alias("c"))
+    return rows.select("p_partkey", "c.source", F.col("c.intent").alias("query_type"))
+
+
+@query("localised_text", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Nada' WHEN 1 THEN 'Nothing' ELSE 'Nothing' END AS text FROM nation")
+def _(spark, d):
+    lang = F.element_at(F.array(F.lit("es"), F.lit("en"), F.lit("pt")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return read(spark, d, "nation").select("n_nationkey", language.localised({"en": {"none": "Nothing"}, "es": {"none": "Nada"}}, F.lit("none"), lang).alias("text"))
+
+
+@query("title_line", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE course_code END AS code, title, CASE WHEN p_partkey % 2 = 0 THEN '3-4.5 points' ELSE '' END AS points,
+ concat_ws(',', CASE WHEN p_partkey % 2 = 1 THEN 'missing_points_in_title' END, CASE WHEN p_partkey % 3 = 2 THEN 'missing_course_code_or_title' END) AS issues,
+ CASE WHEN p_partkey % 2 = 0 THEN 3.0::double END AS lo, CASE WHEN p_partkey % 2 = 0 THEN 4.5::double END AS hi FROM course""", True)
+def _(spark, d):
+    key = F.col("p_partkey")
+    line = F.concat(F.when(key % 3 == 2, "").otherwise(F.concat("course_code", F.lit("  "))), "title", F.when(key % 2 == 0, ".  3-4.5 Points.").otherwise("."))
+    rows = projection.courses(spark, d).select("p_partkey", codes.title_line(line).alias("t"))
+    points = credits.crawled_points(F.col("t.points"))
+    return rows.select("p_partkey", "t.code", "t.title", F.lower("t.points").alias("points"), F.array_join("t.issues", ",").alias("issues"), points["lo"].alias("lo"), points["hi"].alias("hi"))
+
+
+@query("evidence_bounded_pairs", """SELECT a.event_id, arg_min(b.event_id, (b.t, b.event_id)) AS right_id FROM (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS until FROM (SELECT *, epoch_us(ts) AS t FROM events WHERE event_type = 'signup')) a
+ JOIN (SELECT *, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.t >= a.t AND (a.until IS NULL OR b.t < a.until) AND b.t - a.t <= 172800000000 GROUP BY 1""")
+def _(spark, d):
+    e = read(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type")
+    left = e.where("event_type = 'signup'").select("event_id", "user_id", "t", F.col("t").alias("end"))
+    right = e.where("event_type = 'purchase'").select("user_id", "t", F.col("event_id").alias("id"))
+    return importing.bounded_pairs(left, right, "user_id", "t", "end", "t", "id", 172_800_000_000).select("event_id", "right_id")
+
+
+@query("evidence_matching_pair", """SELECT flag, status, min(l_quantity)::double AS distance, arg_min(l_orderkey, (l_quantity, l_orderkey, l_linenumber)) AS l_orderkey FROM (SELECT DISTINCT lower(l_returnflag) AS flag, lower(l_linestatus) AS status FROM lineitem) c
+ JOIN lineitem ON lower(l_returnflag) = flag AND lower(l_linestatus) = status GROUP BY 1, 2""")
+def _(spark, d):
+    pairs = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("distance"), "l_orderkey", "l_linenumber")
+    claims = pairs.select(F.lower("flag").alias("flag"), F.lower("status").alias("status")).distinct()
+    return importing.matching_pairs(claims, pairs, ["flag", "status"], "distance", ["l_orderkey", "l_linenumber"]).select("flag", "status", "distance", "l_orderkey")
+
+
+@query("reviewable_error", "SELECT l_orderkey, l_linenumber, l_suppkey, l_linenumber = 1 AS reviewable FROM lineitem")
+def _(spark, d):
+    rows = projection.sections(spark, d).withColumn("times", F.when(F.col("l_linenumber") == 1, F.concat("times", F.lit(" Ada Lovelace"))).otherwise("Savannah Eisner"))
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", importing.reviewable(F.lit("invalid_times"), F.col("times")).alias("reviewable"))
+
+
 # Events: rate limits, protocol, windows
 
 @query("rate_window_upper_bound", """SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
@@ -610,7 +769,10 @@ def _(spark, d):
     return analytics.rate_bound(read(spark, d, "events"), ["user_id", "event_type"], "ts", 3600).select("event_id", "in_window")
 
 
-@query("rate_admission_exact")
+@query("rate_admission_exact", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ w AS (SELECT user_id, event_id, n, true AS admitted, NULL::bigint AS older, t AS newer FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.n, coalesce(w.older, -1) <= e.t - 21600000000, CASE WHEN coalesce(w.older, -1) <= e.t - 21600000000 THEN w.newer ELSE w.older END, CASE WHEN coalesce(w.older, -1) <= e.t - 21600000000 THEN e.t ELSE w.newer END
+ FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1) SELECT user_id, event_id, admitted FROM w""")
 def _(spark, d):
     return rate.admitted(read(spark, d, "events"), ["user_id"], "ts", "event_id", seconds=6 * 3600, limit=2)
 
@@ -620,16 +782,21 @@ def _(spark, d):
     return protocol.decode(protocol.sample_stream(read(spark, d, "conversations")), "conv_id", "seq", "data").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query("sse_protocol_check", "SELECT conv_id, true AS ok, '' AS problem FROM conversations GROUP BY 1")
+@query("sse_protocol_check", """SELECT conv_id, conv_id % 4 NOT IN (1, 2, 3) AS ok, CASE conv_id % 4 WHEN 1 THEN 'no end' WHEN 2 THEN (CASE WHEN count(*) > 1 THEN 'chunk' ELSE 'sources' END) || ' after start' WHEN 3 THEN 'chunk after sources' ELSE '' END AS problem
+ FROM conversations GROUP BY 1""")
 def _(spark, d):
     events = protocol.decode(protocol.sample_stream(read(spark, d, "conversations")), "conv_id", "seq", "data")
-    return protocol.checked(events, "conv_id", "pos", "type")
+    # One in four streams lacks its end, one its beginning, and in one a chunk comes late.
+    part = F.col("conv_id") % 4
+    events = events.where(~((part == 1) & (F.col("type") == "done")) & ~((part == 2) & (F.col("type") == "meta")))
+    late = events.where((F.col("conv_id") % 4 == 3) & (F.col("type") == "sources")).withColumns({"pos": F.col("pos") + 0.5, "type": F.lit("chunk")})
+    return protocol.checked(events.withColumn("pos", F.col("pos") + 0.0).unionByName(late), "conv_id", "pos", "type")
 
 
-@query("reset_and_replace", "SELECT conv_id, turn FROM conversations WHERE turn > 2")
+@query("reset_and_replace", "SELECT conv_id, turn FROM conversations c WHERE turn <> 2 AND (turn > 2 OR NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = 2))")
 def _(spark, d):
     rows = read(spark, d, "conversations").withColumn("type", F.when(F.col("turn") == 2, "fallback").otherwise("chunk"))
-    return conversation.after_reset(rows, "conv_id", "turn").select("conv_id", "turn").where("turn > 2")
+    return conversation.after_reset(rows, "conv_id", "turn").select("conv_id", "turn")
 
 
 @query("session_windows", """SELECT user_id, began, ended, n_events FROM (SELECT user_id, session, min(ts) AS began, max(ts) AS ended, count(*) AS n_events FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM (

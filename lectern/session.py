@@ -19,12 +19,23 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
     return builder.getOrCreate()
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that the cluster shares, as a view that queries read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    A local folder is set only where the session names none.
+    Only on a local master, where one machine is all there is, a folder of its
+    own stands in for it; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
+    spark.sparkContext.setCheckpointDir(own)
+    return f"file://{own}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
