@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import shared_folder
+
 #: Word characters of the operators' contracts: everything but the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,30 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) a local folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    return f"file://{own}"
-
-
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle and checkpoint files of steps that nothing refers to any more.
+    """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more.
 
-    The cleaner works when the driver collects its garbage, which a driver with
-    little of its own to do may put off until disks are full.
+    Checkpoint files go too where the session was begun with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``get_session``
+    does. The cleaner works when the driver collects its garbage, which a driver
+    with little of its own to do may put off until disks are full.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -50,7 +39,7 @@ def release(spark: SparkSession) -> None:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def words_in(text) -> F.Column:
