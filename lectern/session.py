@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def get_session(master: str | None = None, partitions: int | None = None) -> SparkSession:
     """UTC, ANSI and adaptive execution; ``partitions`` only where the cluster's default doesn't fit."""
     builder = SparkSession.builder.appName("lectern").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     builder = builder.config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if master:
         builder = builder.master(master)
