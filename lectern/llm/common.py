@@ -12,6 +12,8 @@ from lectern.session import shared_folder
 
 #: Word characters of the operators' contracts: everything but the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of the bit maps that screen rows for a join, 64 bits each; their size is fixed.
+SCREEN_ROWS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,16 @@ def share_of(share, *columns) -> F.Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)).cast("double") < share * F.lit(float(1 << 53))
 
 
+def screened(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose ``columns`` are probably in ``wanted``, by a bit map of a fixed size; what it lets through by chance ends in a join."""
+    h = F.xxhash64(*columns)
+    named = ", ".join(f"`{c}`" for c in columns)
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64({named}), 32), 64) as int))")
+    place = lambda df: df.withColumns({"_slot": F.pmod(h, F.lit(SCREEN_ROWS)), "_bit": bit})
+    bits = place(wanted).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    return place(rows).join(F.broadcast(bits), "_slot").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_slot", "_bit", "_bits")
+
+
 def parallelism(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,8 +5,9 @@ The 64 bits are cut into ``BLOCKS`` blocks. Fingerprints that differ in at most
 share one of the keys made of so many blocks. Distinct fingerprints are dealt by
 those keys, compared inside each key's group, and a spanning forest of the links
 found there goes on: never all pairs. A group above ``GROUP`` fingerprints is
-cut into chunks and each pair of chunks is a task-sized group of its own.
-Components of the links are the near-duplicate classes.
+cut into chunks that share one of its fingerprints; where that leaves a group in
+pieces each pair of its chunks is a task-sized group of its own. Components of
+the links are the near-duplicate classes.
 
 Defined results: null and word-less texts have fingerprint zero, linked like any
 other; equal texts share a fingerprint and so a class; rows without a doc_id
@@ -25,9 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
-from pyspark.sql.window import Window as W
 
-from lectern.llm.common import durable, release
+from lectern.llm.common import durable, release, screened
 from lectern.llm.graph import components
 from lectern.llm.shingles import Words, by_size
 
@@ -134,18 +134,32 @@ def links_of_runs(distance: int):
 
 def near_links(prints: DataFrame, distance: int) -> DataFrame:
     """Edges (u, v) between the ids of distinct fingerprints (fp, rep) that connect all within ``distance`` bits."""
-    keyed = prints.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance)))).alias("pick", "key"))
-    group = W.partitionBy("pick", "key")
-    dealt = keyed.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("row", F.row_number().over(group.orderBy("fp")) - 1)
-    dealt = durable(dealt)
+    key = ["pick", "key"]
+    keyed = prints.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(distance)))).alias(*key))
+    # Rows of a key are counted where they are read, so a frequent key is no large task.
+    groups = durable(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("hub")).where("n > 1"))
+    dealt = durable(screened(keyed, groups, *key).join(groups, key))
     release(prints.sparkSession)
-    small = dealt.where(F.col("n") <= GROUP).select("pick", "key", "fp", "rep")
-    small = small.repartition("pick", "key").sortWithinPartitions("pick", "key").mapInPandas(links_of_runs(distance), "u long, v long")
-    chunk, chunks = F.floor(F.col("row") / GROUP), F.ceil(F.col("n") / GROUP)
-    large = dealt.where(F.col("n") > GROUP).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    large = large.select("pick", "key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "fp", "rep")
-    large = large.repartition("pick", "key", "a", "b").sortWithinPartitions("pick", "key", "a", "b").mapInPandas(links_of_runs(distance), "u long, v long")
-    return small.union(large)
+
+    def linked(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select(*by, "fp", "rep").repartition(*by).sortWithinPartitions(*by).mapInPandas(links_of_runs(distance), "u long, v long")
+
+    edges = linked(dealt.where(F.col("n") <= GROUP), *key)
+    chunks = F.ceil(F.col("n") / GROUP)
+    large = dealt.where(F.col("n") > GROUP).withColumns({"chunks": chunks, "a": F.pmod(F.xxhash64("fp"), chunks)})
+    if groups.where(F.col("n") > GROUP).isEmpty():
+        return edges
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    # One fingerprint of a large group goes to all of its chunks, so a group of near copies is connected through it.
+    hubs = large.where("fp = hub").withColumn("a", every)
+    edges = durable(edges.union(linked(large.union(hubs), *key, "a")))
+    named = components(edges).select(F.col("node").alias("rep"), "component")
+    label = large.join(named, "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    # Only groups that are still in pieces are compared chunk by chunk.
+    apart = label.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
+    left = label.join(apart, key, "left_semi").withColumn("b", every)
+    pairs = left.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "fp", "rep")
+    return edges.union(linked(pairs, *key, "a", "b"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:

@@ -101,6 +101,29 @@ def test_simhash_large_group_is_cut(spark, monkeypatch):
     assert got == {i: 0 for i in (0, 1, 2, 3, 4, 5, 50)}
 
 
+def test_simhash_large_group_in_pieces(spark, monkeypatch):
+    """A group cut into chunks finds links that don't go through the fingerprint that its chunks share."""
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    rng = random.Random(5)
+    low = sorted({0} | {rng.getrandbits(36) for _ in range(14)})
+    prints = [x | 1 << 63 for x in low for x in (x, x ^ 0b1011)]
+    rows = [(i, p - (1 << 64)) for i, p in enumerate(sorted(set(prints)))]
+    parent = {i: i for i, _ in rows}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, p in rows:
+        for j, q in rows:
+            if ((p ^ q) & ((1 << 64) - 1)).bit_count() <= 4:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in components(simhash.near_links(spark.createDataFrame(rows, "rep long, fp long").select("fp", "rep"), 4)).collect()}
+    assert {i: got.get(i, i) for i in parent} == {i: find(i) for i in parent} and len(set(got.values())) > 10
+
+
 def test_mixing(spark, docs, corpus):
     rows = mixing.mix(docs, block_docs=8).collect()
     sizes = {}
@@ -523,6 +546,33 @@ def test_ann_recall_and_order(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_ann_learned_parts_on_small_tables(spark):
+    """A table of a few hundred vectors is cut into learned parts like any other."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    data = sorted((r["vec_id"], r["embedding"]) for r in table.collect())
+    ids, x = np.array([i for i, _ in data]), ann.unit(np.array([v for _, v in data], dtype=float))
+    assert ann.learn(x, len(x), 5, 0.94).router is not None
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in ids[ids % 50 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -9
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(got) and len(got) == (ids % 50 == 0).sum()
+
+
+def test_samples_of_huge_tables_are_not_empty(spark):
+    from lectern.llm.common import share_of
+
+    rows = spark.range(200_000)
+    assert 0.8 < rows.where(share_of(0.01, "id")).count() / 2000 < 1.2
+    # The least share of a table of 10**14 rows still is a positive limit of the hash.
+    limit = rows.select((F.lit(600 / 1e14) * F.lit(float(1 << 53))).alias("x")).first()[0]
+    assert limit > 1
+
+
 def test_ann_repeats_ties_and_lengths(spark):
     rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 30 + [(1, [1.0, 0.01 + i / 1e4]) for i in range(30)] + [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
     rows += [(1000, [0.0, -1.0])] + [(1000 + i, [0.0, -float(2 ** (i % 50))]) for i in range(1, 200)]
