@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import squash
 from lectern.functions.web import url_path
+from lectern.session import materialised
 
 PREREQUISITE_START = r"(?i)^(pre-?requisites?|co-?requisites?)\b"
 
@@ -78,10 +79,29 @@ def run_report(rows: DataFrame, problems: dict[str, Column]) -> DataFrame:
 
 def reachable(links: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """Pages (url, depth) reached from the seeds over links (source, target) in at most ``rounds`` steps."""
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, rounds + 1):
         step = frontier.join(links, frontier["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
-        frontier = step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
+        # Kept, so that no round computes those before it again.
+        frontier = materialised(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.union(frontier)
+        if frontier.isEmpty():
+            break
     return seen
+
+
+def save_registry(registry: DataFrame, path: str) -> None:
+    """The registry as JSON lines in the order of keys, and the keys alone as text beside it; files follow each other in order."""
+    rows = registry.orderBy("dedup_key")
+    rows.write.mode("overwrite").json(f"{path}/registry")
+    rows.select("dedup_key").write.mode("overwrite").text(f"{path}/keys")
+
+
+def snapshot_order(rows: DataFrame) -> DataFrame:
+    """Courses of a crawl by code and title."""
+    return rows.orderBy("course_code", "title")
+
+
+def pass_counts(results: DataFrame, prefix: Column, passed: Column, seconds: Column) -> DataFrame:
+    """Runs of each prefix: how many, how many passed, and their mean time to three places."""
+    return results.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("passed"), F.round(F.avg(seconds), 3).alias("seconds"))

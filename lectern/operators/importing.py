@@ -121,3 +121,14 @@ def points_conflict(section_lo: Column, section_hi: Column, course_lo: Column, c
 def overall_status(status: Column) -> Column:
     """Aggregate: published if all are, review if any is in review, else rejected."""
     return F.when(F.bool_and(status == "published"), "published").when(F.bool_or(status == "review"), "review").otherwise("rejected")
+
+
+def evidence_of(claims: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """Each claim with the first span of its value in the source (start, stop), and whether it is verified."""
+    first = spans.groupBy(*by).agg(F.min(F.struct("start", "stop")).alias("span"))
+    return claims.join(first, by, "left").select(*claims.columns, "span.start", "span.stop", F.col("span").isNotNull().alias("verified"))
+
+
+def anchors(found: DataFrame, claimed: DataFrame) -> DataFrame:
+    """Places in a source that name a term or section: those of patterns and those of claimed values, each once."""
+    return found.unionByName(claimed).distinct()

@@ -69,3 +69,13 @@ def widen_points(base: DataFrame, overlays: DataFrame) -> DataFrame:
     return base.select("course_uid", "points_min", "points_max").union(overlays.select("course_uid", "points_min", "points_max")).groupBy("course_uid").agg(
         F.min("points_min").alias("points_min"), F.max("points_max").alias("points_max")
     )
+
+
+def effective_order(rows: DataFrame) -> DataFrame:
+    """Effective overlays by code, term and section."""
+    return rows.orderBy("course_code", "term", "section_id")
+
+
+def without_fields(rows: DataFrame, *fields: str) -> DataFrame:
+    """Rows without some fields: what a repair must leave as it is."""
+    return rows.drop(*fields)

@@ -79,3 +79,53 @@ def facts(code: Column, points: Column, instructors: Column, description: Column
 def suitability_line(place: Column, code: Column, title: Column, found: Column) -> Column:
     """A course with the evidence that it suits beginners."""
     return F.concat(place.cast("string"), F.lit(". "), code, F.lit(" - "), title, F.when(found["evidence"] != "", F.concat(F.lit(" ("), found["evidence"], F.lit(")"))).otherwise(""))
+
+
+#: Fixed value: fields of a manual import and the names that its first section may have for them.
+ALIASES = {
+    "term": ("term",), "section_id": ("section_id", "section_call_number"), "points_raw": ("points_raw", "points"), "times": ("times",), "location": ("location",),
+    "instructor": ("instructor",), "enrollment_raw": ("enrollment_raw",), "enrollment_current": ("enrollment_current",), "enrollment_capacity": ("enrollment_capacity",),
+}
+
+
+def with_first_section(rows: DataFrame, fields: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
+    """Blank fields filled from the first of ``sections``, by any of their names there; ``sections`` is dropped."""
+    names = rows.schema["sections"].dataType.elementType.names
+    first = F.get("sections", F.lit(0))
+    shown = lambda c: F.when(F.trim(c.cast("string")) != "", c)
+    known = {f: [first[n] for n in aliases if n in names] for f, aliases in fields.items() if f in rows.columns}
+    return rows.withColumns({f: F.coalesce(shown(F.col(f)), *(shown(c) for c in found)).cast(rows.schema[f].dataType) for f, found in known.items() if found}).drop("sections")
+
+
+def course_identity(uid: Column, code: Column) -> Column:
+    """What tells courses apart in a conversation: uid, else code, in upper case; null if both are blank."""
+    return F.upper(F.coalesce(F.nullif(F.trim(uid), F.lit("")), F.nullif(F.trim(code), F.lit(""))))
+
+
+def first_mentions(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Courses of each conversation once, at their first mention; rows without an identity stay."""
+    who = course_identity(F.col("course_uid"), F.col("course_code"))
+    nth = F.row_number().over(W.partitionBy(key, who).orderBy(order))
+    return rows.withColumn("nth", nth).where((F.col("nth") == 1) | who.isNull()).drop("nth")
+
+
+def provider_failure(kind: Column, text: Column) -> Column:
+    """Class of a failure of an outside service, by the kind of error (timeout, connection or other) and its text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda *words: F.coalesce(*(F.when(low.contains(w), True) for w in words), F.lit(False))
+    return (
+        F.when(kind == "timeout", "timeout").when(has("429", "rate limit", "too many requests"), "rate_limited")
+        .when(has("truncat", "token limit", "finish_reason=length"), "truncated")
+        .when(has("ended before", "malformed", "invalid event", "without answer content", "protocol"), "invalid_stream")
+        .when(kind == "connection", "unreachable").when(has("connect", "transport", "network"), "unreachable").otherwise("provider_error")
+    )
+
+
+def canonical_json(*columns: str) -> Column:
+    """JSON of named columns in the order of their names, nulls included."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def response_guard(basis_size: Column, follow_up: Column, answer: Column, empty_text: Column) -> Column:
+    """The text shown: without a basis, and not following up, the text for no results instead of an answer."""
+    return F.when((basis_size == 0) & ~follow_up, empty_text).otherwise(answer)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import codes, credits, schedule, text
-from lectern.operators import answers, conversation, importing, records, repair, retrieval
+from lectern.operators import answers, conversation, crawl, importing, overlays, records, repair, retrieval
 from lectern.plans import projection
 from lectern.queries import QUALITY, VISIBLE, index, query, read
 from lectern.streaming import protocol
@@ -196,3 +196,60 @@ def _(spark, d):
 @query("quality_without_words", f", {QUALITY} SELECT course_uid, quality FROM quality WHERE {VISIBLE} ORDER BY quality DESC, level, course_code, title, course_uid LIMIT 20", True)
 def _(spark, d):
     return retrieval.keyword_topk(index(spark, d), [" "]).select("course_uid", "quality")
+
+
+@query("first_section_fields", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 1 THEN term ELSE 'own' END AS term, section_id FROM section", True)
+def _(spark, d):
+    rows = projection.sections(spark, d).withColumn("sections", F.array(F.struct("term", "section_call_number")))
+    rows = rows.withColumns({"section_id": F.lit(" "), "term": F.when(F.col("l_linenumber") == 1, "").otherwise("own")})
+    return records.with_first_section(rows).select("l_orderkey", "l_linenumber", "l_suppkey", "term", "section_id")
+
+
+@query("first_mentions", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1")
+def _(spark, d):
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise(F.lower("o_orderpriority")).alias("course_uid"), F.col("o_orderpriority").alias("course_code"))
+    return records.first_mentions(rows, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("provider_failure", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'timeout' WHEN 'purchase' THEN 'rate_limited' WHEN 'click' THEN 'unreachable' ELSE CASE WHEN event_id % 2 = 0 THEN 'invalid_stream' ELSE 'provider_error' END END AS failure FROM events")
+def _(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "timeout").when(F.col("event_type") == "click", "connection").otherwise("other")
+    said = F.when(F.col("event_type") == "purchase", "HTTP 429").when((F.col("event_id") % 2 == 0) & ~F.col("event_type").isin("signup", "click"), "Malformed reply").otherwise("odd")
+    return read(spark, d, "events").select("event_id", records.provider_failure(kind, said).alias("failure"))
+
+
+@query("response_guard", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'none' ELSE o_orderpriority END AS shown FROM orders")
+def _(spark, d):
+    shown = records.response_guard(F.col("o_custkey") % 3, F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"), F.lit("none"))
+    return read(spark, d, "orders").select("o_orderkey", shown.alias("shown"))
+
+
+@query("canonical_json", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"none":null}' AS json FROM nation""")
+def _(spark, d):
+    return read(spark, d, "nation").withColumn("none", F.lit(None).cast("string")).select("n_nationkey", records.canonical_json("none", "n_nationkey", "n_name").alias("json"))
+
+
+@query("pass_counts", "SELECT event_type AS prefix, count(*) AS n, count(*) FILTER (value > 50) AS passed, round(avg(value), 3) AS seconds FROM events GROUP BY 1")
+def _(spark, d):
+    return crawl.pass_counts(read(spark, d, "events"), F.col("event_type"), F.col("value") > 50, F.col("value"))
+
+
+@query("snapshot_order", "SELECT course_uid, row_number() OVER (ORDER BY course_code, title, course_uid)::int AS place FROM course QUALIFY place <= 30", True)
+def _(spark, d):
+    rows = crawl.snapshot_order(projection.courses(spark, d).select("course_uid", "course_code", "title").orderBy("course_uid")).limit(30)
+    return rows.select("course_uid", F.row_number().over(W.orderBy("course_code", "title", "course_uid")).alias("place"))
+
+
+@query("effective_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus, o_orderkey)::int AS place FROM orders QUALIFY place <= 25")
+def _(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("course_code"), F.col("o_orderstatus").alias("term"), F.col("o_orderkey").alias("section_id"))
+    best = overlays.effective_order(overlays.without_fields(rows.withColumn("extra", F.lit(1)), "extra")).limit(25)
+    return best.select("o_orderkey", F.row_number().over(W.orderBy("course_code", "term", "section_id")).alias("place"))
+
+
+@query("claim_evidence", "SELECT c.p_partkey, min(l_quantity)::double AS start, min(l_quantity) IS NOT NULL AS verified FROM part c LEFT JOIN lineitem ON l_partkey = c.p_partkey AND l_linenumber = 1 GROUP BY 1")
+def _(spark, d):
+    claims = read(spark, d, "part").select("p_partkey")
+    spans = read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 3).alias("stop"))
+    found = importing.evidence_of(claims, importing.anchors(spans, spans), ["p_partkey"])
+    return found.select("p_partkey", "start", "verified")

@@ -31,8 +31,8 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON-lines registry, the last line of each key, of the last file in name order; malformed lines are skipped."""
     rows = spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(path).where("dedup_key is not null")
     rest = [c for c in rows.columns if c != "dedup_key"]
-    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    return rows.groupBy("dedup_key").agg(F.max_by(F.struct(*rest), line).alias("r")).select("dedup_key", "r.*")
+    rows = rows.withColumn("line", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()))
+    return rows.groupBy("dedup_key").agg(F.max_by(F.struct(*rest), "line").alias("r")).select("dedup_key", "r.*")
 
 
 def pages_with_files(pages: DataFrame, files: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ class Store:
         A key that isn't unique, too many rows or a failing ``check`` raises and
         leaves the current generation as it is.
         """
-        name = f"g-{uuid.uuid4().hex}"
+        name, before = f"g-{uuid.uuid4().hex}", self.current()
         rows.write.parquet(f"{self.root}/{name}")
         written = self.spark.read.parquet(f"{self.root}/{name}")
         try:
@@ -53,13 +53,27 @@ class Store:
         except Exception:
             self.files.delete(self.path(f"{self.root}/{name}"), True)
             raise
-        new, now = self.path(f"{self.root}/CURRENT-{name}"), self.path(f"{self.root}/CURRENT")
+        self._point(name, before)
+        return name
+
+    def _point(self, name: str, before: str | None) -> None:
+        """Let CURRENT name a generation in one rename that replaces it; a commit by someone else in between is an error.
+
+        Where no rename replaces, as in some object stores, a reader may find no
+        pointer for a moment.
+        """
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        new, now = (self.files.makeQualified(self.path(f"{self.root}/CURRENT{end}")) for end in (f"-{name}", ""))
         out = self.files.create(new, True)
         out.write(bytearray(name.encode()))
         out.close()
-        self.files.delete(now, False)
-        self.files.rename(new, now)
-        return name
+        if self.current() != before:
+            self.files.delete(new, False)
+            self.files.delete(self.path(f"{self.root}/{name}"), True)
+            raise RuntimeError(f"the store moved on from {before} to {self.current()}")
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(now.toUri(), conf).rename(new, now, over)
 
     def append(self, rows: DataFrame) -> str | None:
         """Commit the current rows and those of ``rows`` with new keys; nothing new is no commit."""

@@ -31,3 +31,47 @@ def test_rate_stream_matches_batch(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [r["admitted"] for r in spark.table("admitted").orderBy("at").collect()] == [True, True, True, False, True, True, True]
+
+
+def test_store_pointer_is_replaced_and_guarded(spark, tmp_path):
+    import pytest
+
+    from lectern.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"), "k")
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
+    first = store.commit(rows("a"))
+    second = store.commit(rows("a", "b"))
+    assert store.current() == second and {r["k"] for r in store.read().collect()} == {"a", "b"}
+
+    def meanwhile(written):
+        Store(spark, str(tmp_path / "s"), "k").commit(rows("x"))
+
+    with pytest.raises(RuntimeError):
+        store.commit(rows("c"), check=meanwhile)
+    assert {r["k"] for r in store.read().collect()} == {"x"} and first != second
+
+
+def test_registry_keeps_the_last_line(spark, tmp_path):
+    from lectern.operators.crawl import save_registry
+    from lectern.sources.readers import registry
+
+    lines = [{"dedup_key": "b", "seen_count": 9, "last_seen_at": "2026"}, {"dedup_key": "a", "seen_count": 1, "last_seen_at": "2025"}, {"dedup_key": "b", "seen_count": 2, "last_seen_at": "2024"}]
+    path = tmp_path / "r.jsonl"
+    path.write_text("\n".join(__import__("json").dumps(x) for x in lines) + "\nnot json\n")
+    got = registry(spark, str(path))
+    assert {r["dedup_key"]: r["seen_count"] for r in got.collect()} == {"a": 1, "b": 2}
+    save_registry(got, str(tmp_path / "out"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out/keys")).collect()] == ["a", "b"]
+
+
+def test_rebuilt_index_needs_every_row(spark):
+    import pytest
+
+    from lectern.operators.repair import rebuilt
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "course_uid string, n int, other string")
+    fixed = spark.createDataFrame([("a", 5)], "course_uid string, n int")
+    with pytest.raises(Exception, match="no repaired row of b"):
+        rebuilt(rows, fixed, ["n"]).collect()
+    assert {tuple(r) for r in rebuilt(rows, fixed.union(fixed.withColumn("course_uid", __import__("pyspark").sql.functions.lit("b"))), ["n"]).collect()} == {("a", 5, "x"), ("b", 5, "y")}
