@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from lectern.functions import codes, credits, schedule, text
 from lectern.operators import answers, conversation, crawl, importing, overlays, records, repair, retrieval
-from lectern.plans import projection
+from lectern.plans import projection, routing
 from lectern.queries import QUALITY, VISIBLE, index, query, read
 from lectern.streaming import protocol
 
@@ -253,3 +253,26 @@ def _(spark, d):
     spans = read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + 3).alias("stop"))
     found = importing.evidence_of(claims, importing.anchors(spans, spans), ["p_partkey"])
     return found.select("p_partkey", "start", "verified")
+
+
+@query("answer_path", """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'stats' WHEN 1 THEN 'count_mismatch' WHEN 2 THEN 'suitability' WHEN 3 THEN 'prerequisites' WHEN 4 THEN 'schedule' WHEN 5 THEN 'facts'
+ WHEN 6 THEN CASE WHEN p_size % 3 > 1 THEN 'facts' ELSE 'model' END WHEN 7 THEN CASE WHEN p_size % 3 > 1 THEN 'list' ELSE 'model' END ELSE 'model' END AS path FROM part""")
+def _(spark, d):
+    part = (F.col("p_partkey") % 9).cast("int")
+    pick = lambda table: F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), part)
+    intent = F.struct(
+        F.coalesce(pick({0: "Stats", 7: "search"}), F.lit("detail")).alias("query_type"), F.when(part == 2, "beginner").alias("suitability"),
+        F.when(part == 4, F.array(F.lit("Monday"))).otherwise(F.array().cast("array<string>")).alias("day_preference"))
+    scope = F.struct(pick({3: "prerequisites", 5: "credits", 6: "description"}).alias("attribute"), F.when(part == 8, "list").otherwise("detail").alias("operation"))
+    path = routing.answer_path(intent, scope, F.col("p_size") % 3, part == 8, part == 1)
+    return read(spark, d, "part").select("p_partkey", path.alias("path"))
+
+
+@query("service_health", """SELECT n_nationkey, CASE WHEN ok AND n_regionkey > 0 THEN 'ok' ELSE 'degraded' END AS status, concat_ws(',', CASE WHEN NOT ok AND m <> 1 THEN 'no key for the cloud model' END,
+ CASE WHEN NOT ok AND m <> 0 THEN 'local model unreachable' END, CASE WHEN n_regionkey = 0 THEN 'no courses loaded' END) AS reasons FROM (
+ SELECT *, n_nationkey % 3 AS m, CASE n_nationkey % 3 WHEN 0 THEN n_nationkey % 2 = 0 WHEN 1 THEN n_nationkey % 5 = 0 ELSE n_nationkey % 2 = 0 OR n_nationkey % 5 = 0 END AS ok FROM nation)""")
+def _(spark, d):
+    key = F.col("n_nationkey")
+    mode = F.element_at(F.array(F.lit("cloud"), F.lit("local"), F.lit("hybrid")), (key % 3 + 1).cast("int"))
+    h = routing.health(mode, key % 2 == 0, key % 5 == 0, F.lit(False), F.col("n_regionkey"))
+    return read(spark, d, "nation").select("n_nationkey", h["status"].alias("status"), F.array_join(h["reasons"], ",").alias("reasons"))
