@@ -515,6 +515,20 @@ def test_lines_against_all_pairs(spark):
     assert links > 100 and len(want - got) <= 0.1 * len(want) and not got - want
 
 
+def test_long_lines_are_compared_in_words(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    forms = {0: words}
+    for i, n in enumerate((10, 40, 41, 80), 1):
+        other = list(words)
+        for at in rng.sample(range(200), n):
+            other[at] = "changed"
+        forms[i] = other
+    named = spark.createDataFrame([(i, " ".join(f)) for i, f in forms.items()], "node long, form string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 5)], "u long, v long")
+    assert sorted(r["u"] for r in lines.similar(pairs, named, 0.8).collect()) == [1, 2]
+
+
 def test_lines_that_many_share_and_very_long_ones(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
