@@ -44,6 +44,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a packed table of the shared folder, and its path, for ``remove``."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that is no longer read."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
