@@ -55,6 +55,14 @@ DEPARTMENT_ALIASES = {
 # Words of a field that are too common to name a department.
 COMMON_WORDS = ("engineering", "applied", "science", "math", "mathematics")
 
+# Words that only name a department; other words of a field are topics. Codes of departments come with them.
+NAMING_WORDS = (
+    "cs compsci computer ieor aero aerospace civil mechanical mech electrical ee biomedical biomed environmental materials statistics stats physics chemical chem "
+    "bioinformatics industrial"
+)
+# Words that count beside Chinese signs, too; so do codes.
+ASCII_WORDS = "cs compsci ieor aero mech ee biomed stats chem"
+
 # English for Chinese, Spanish and French words of questions.
 CHINESE = {
     "航空": "aerospace", "航天": "aerospace", "土木": "civil engineering", "计算机": "computer science", "机械": "mechanical engineering",
@@ -111,12 +119,13 @@ FRENCH = {
 
 
 def department_words() -> dict[str, str]:
-    """Department of a single word: the first whose field has it, its own code, then the aliases."""
+    """Department of a word that names one: the first whose field has it, its own code, then the aliases."""
     out: dict[str, str] = {}
     for code, field in DEPARTMENT_WORDS.items():
         for word in [*field.split(), code.lower()]:
             out.setdefault(word, code)
-    return {word: code for word, code in (out | DEPARTMENT_ALIASES).items() if word not in COMMON_WORDS}
+    naming = {*NAMING_WORDS.split(), *(code.lower() for code in DEPARTMENT_WORDS)}
+    return {word: code for word, code in (out | DEPARTMENT_ALIASES).items() if word in naming and word not in COMMON_WORDS}
 
 
 def with_english(question: Column, tables: tuple[Mapping[str, str], ...] = (CHINESE, SPANISH, FRENCH)) -> Column:
@@ -135,9 +144,11 @@ def department_named(question: Column, phrases: Mapping[str, str] = DEPARTMENT_P
     words = department_words() if words is None else words
     longest = lambda table: F.array(*(F.struct(F.lit(w).alias("word"), F.lit(table[w]).alias("code")) for w in sorted(table, key=lambda w: -len(w))))
     phrase = F.get(F.filter(longest(phrases), lambda p: low.contains(p["word"])), F.lit(0))
-    # Runs of ASCII letters and digits, so that a word beside Chinese ones counts.
-    runs = F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), F.lit(1))
-    word = F.get(F.filter(longest(words), lambda p: F.array_contains(runs, p["word"])), F.lit(0))
+    # Short names and codes count beside Chinese signs, other words only by themselves.
+    ascii_words = {*ASCII_WORDS.split(), *(code.lower() for code in DEPARTMENT_WORDS)}
+    runs, whole = (F.regexp_extract_all(low, F.lit(kind), F.lit(1)) for kind in (r"([a-z0-9_]+)", r"([\p{L}\p{N}_]+)"))
+    held = F.array_union(F.filter(runs, lambda w: w.isin(*sorted(ascii_words))), whole)
+    word = F.get(F.filter(longest(words), lambda p: F.array_contains(held, p["word"])), F.lit(0))
     return F.coalesce(phrase["code"], word["code"])
 
 

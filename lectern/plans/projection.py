@@ -20,7 +20,7 @@ section AS (
   lpad(cast(l_linenumber AS varchar),3,'0') || '/' || lpad(cast(l_orderkey % 100000 AS varchar),5,'0') AS section_id,
   CASE WHEN month(l_shipdate) <= 5 THEN 'Spring ' WHEN month(l_shipdate) <= 8 THEN 'Summer ' ELSE 'Fall ' END || cast(year(l_shipdate) AS varchar) AS term,
   CASE l_linenumber WHEN 1 THEN 'M W 10:10am - 11:25am' WHEN 2 THEN 'T Th 1:10pm - 2:25pm' WHEN 3 THEN 'F Sa S 9:00am - 5:00pm'
-   WHEN 4 THEN 'W 6:10pm - 8:00pm' WHEN 5 THEN 'TBA' WHEN 6 THEN 'Savannah Eisner' ELSE '' END AS times,
+   WHEN 4 THEN 'W 6:10pm - 8:00pm' WHEN 5 THEN 'TBA' WHEN 6 THEN 'Imelda Quarrie' ELSE '' END AS times,
   CASE l_linenumber WHEN 1 THEN 'Monday,Wednesday' WHEN 2 THEN 'Tuesday,Thursday' WHEN 3 THEN 'Friday,Saturday,Sunday' WHEN 4 THEN 'Wednesday' ELSE '' END AS days,
   CASE l_linenumber WHEN 1 THEN 'morning' WHEN 2 THEN 'afternoon' WHEN 3 THEN 'morning' WHEN 4 THEN 'evening' ELSE '' END AS tod,
   s_name AS instructor, cast(cast(l_quantity AS int) % 7 AS double) AS points,
@@ -59,7 +59,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections by course_uid, flat."""
     line, supplier = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name")
     n, quantity, month = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.month("l_shipdate")
-    times = F.when(n == 1, "M W 10:10am - 11:25am").when(n == 2, "T Th 1:10pm - 2:25pm").when(n == 3, "F Sa S 9:00am - 5:00pm").when(n == 4, "W 6:10pm - 8:00pm").when(n == 5, "TBA").when(n == 6, "Savannah Eisner").otherwise("")
+    times = F.when(n == 1, "M W 10:10am - 11:25am").when(n == 2, "T Th 1:10pm - 2:25pm").when(n == 3, "F Sa S 9:00am - 5:00pm").when(n == 4, "W 6:10pm - 8:00pm").when(n == 5, "TBA").when(n == 6, "Imelda Quarrie").otherwise("")
     rows = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
     return rows.select(
         F.sha1(F.col("l_partkey").cast("string").cast("binary")).alias("course_uid"), "l_orderkey", "l_linenumber", "l_suppkey",

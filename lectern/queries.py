@@ -370,11 +370,30 @@ def _(spark, d):
     return projection.courses(spark, d).groupBy(codes.level(F.col("course_code")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("credit_parse", """SELECT * FROM (VALUES (1, 3.5::double, 3.5::double), (2, 2, 4), (3, 2, 4), (4, 3, NULL), (5, NULL, 4), (6, 3, NULL), (7, 3.5, 3.5), (8, 2, 4), (9, 3, NULL), (10, 2, 4), (11, NULL, 4), (12, NULL, NULL)) t(id, lo, hi)""")
+#: Phrases about credits, N a whole number of the table, with the bounds that each means.
+CREDIT_PHRASES = [
+    ("N.5 credits", "N + 0.5", "N + 0.5"), ("N-8 credits", "N", "8"), ("between N and 8 credits", "N", "8"), ("at least N credits", "N", "NULL"), ("at most N credits", "NULL", "N"),
+    ("N credits or more", "N", "NULL"), ("N,5 créditos", "N + 0.5", "N + 0.5"), ("N到8学分", "N", "8"), ("至少N学分", "N", "NULL"), ("entre N et 8 crédits", "N", "8"),
+    ("au plus N crédits", "NULL", "N"), ("no number here", "NULL", "NULL"),
+]
+
+
+def nth(choices: list[str], key: F.Column) -> F.Column:
+    """One of ``choices`` by a number of the table."""
+    return F.element_at(F.array(*map(F.lit, choices)), (key % len(choices) + 1).cast("int"))
+
+
+def by_number(key: str, results: list[str]) -> str:
+    """SQL: the result of the choice that ``nth`` makes."""
+    return f"CASE {key} % {len(results)} " + " ".join(f"WHEN {k} THEN {r}" for k, r in enumerate(results)) + " END"
+
+
+@query("credit_parse", f"""SELECT p_partkey, CAST({by_number('p_partkey', [lo.replace('N ', 'n ') if lo != 'N' else 'n' for _, lo, _ in CREDIT_PHRASES])} AS DOUBLE) AS lo,
+ CAST({by_number('p_partkey', [hi.replace('N ', 'n ') if hi != 'N' else 'n' for _, _, hi in CREDIT_PHRASES])} AS DOUBLE) AS hi FROM (SELECT p_partkey, p_size % 6 + 1 AS n FROM part)""")
 def _(spark, d):
-    phrases = ["3.5 credits", "2-4 credits", "between 2 and 4 credits", "at least 3 credits", "at most 4 credits", "3 credits or more", "3,5 créditos", "2到4学分", "至少3学分", "entre 2 et 4 crédits", "au plus 4 crédits", "no number here"]
-    c = credits.credit_constraint(F.col("phrase"))
-    return values(spark, list(enumerate(phrases, 1)), ["id", "phrase"]).select(F.col("id").cast("int").alias("id"), c["min"].alias("lo"), c["max"].alias("hi"))
+    phrase = F.replace(nth([p for p, _, _ in CREDIT_PHRASES], F.col("p_partkey")), F.lit("N"), (F.col("p_size") % 6 + 1).cast("string"))
+    c = credits.credit_constraint(phrase)
+    return read(spark, d, "part").select("p_partkey", c["min"].alias("lo"), c["max"].alias("hi"))
 
 
 @query("points_parse", "SELECT points AS lo, points AS hi, count(*) AS n FROM section GROUP BY ALL", True)
@@ -674,20 +693,40 @@ def _(spark, d):
     return conversation.last_turns(read(spark, d, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn")
 
 
-@query("scope_parse", """SELECT * FROM (VALUES (1, 'new_search', 'detail'), (2, 'previous_results', 'compare'), (3, 'current_course', 'detail'), (4, 'previous_results', 'argmin'), (5, 'current_course', 'detail'), (6, 'new_search', 'detail'), (7, 'previous_results', 'list'), (8, 'previous_results', 'detail')) t(id, scope, operation)""")
+#: Follow-up questions, with scope and operation after some results.
+FOLLOW_UPS = [
+    ("Tell me about COMS W4111", "'new_search'", "'detail'"), ("Compare these", "'previous_results'", "'compare'"), ("What about the second one?", "'current_course'", "'detail'"),
+    ("Which of these has the fewest prerequisites?", "'previous_results'", "'argmin'"), ("How many credits is it?", "'current_course'", "'detail'"), ("robotics courses", "'new_search'", "'detail'"),
+    ("List the results", "'previous_results'", "'list'"), ("这两门课怎么样", "'previous_results'", "'detail'"),
+]
+
+
+@query("scope_parse", f"""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'new_search' ELSE {by_number('(conv_id * 3 + turn)', [s for _, s, _ in FOLLOW_UPS])} END AS scope,
+ {by_number('(conv_id * 3 + turn)', [o for _, _, o in FOLLOW_UPS])} AS operation FROM conversations""")
 def _(spark, d):
-    asked = ["Tell me about COMS W4111", "Compare these", "What about the second one?", "Which of these has the fewest prerequisites?", "How many credits is it?", "robotics courses", "List the results", "这两门课怎么样"]
-    rows = values(spark, list(enumerate(asked, 1)), ["id", "q"])
-    s = conversation.scope(F.col("q"), F.lit(5), F.lit(True), F.col("id") == 6, F.lit(False))
-    return rows.select(F.col("id").cast("int").alias("id"), s["scope"].alias("scope"), s["operation"].alias("operation"))
+    rows = read(spark, d, "conversations").withColumn("n", F.col("conv_id") * 3 + F.col("turn"))
+    # Every fourth turn has no results before it.
+    before = F.when(F.col("turn") % 4 == 3, 0).otherwise(5)
+    s = conversation.scope(nth([q for q, _, _ in FOLLOW_UPS], F.col("n")), before, F.lit(True), F.col("n") % 8 == 5, F.lit(False))
+    return rows.select("conv_id", "turn", s["scope"].alias("scope"), s["operation"].alias("operation"))
+
 
+#: Questions, Y a year of the table, with kind, department, teacher, term, days and the first keyword.
+QUESTIONS = [
+    ("Recommend computer science courses in Spring Y", "'recommend'", "'COMS'", "NULL", "'Spring ' || y", 0, "'computer'"), ("What is COMS W4111 about?", "'detail'", "'COMS'", "NULL", "NULL", 0, "'coms'"),
+    ("How many departments are there?", "'stats'", "NULL", "NULL", "NULL", 0, "NULL"), ("What does Professor Quarrie teach in mechanical engineering", "'search'", "'MECE'", "'Quarrie'", "NULL", 0, "'professor'"),
+    ("structural design on Tuesdays and Thursdays", "'search'", "NULL", "NULL", "NULL", 2, "'structural'"), ("How do I register late", "'general'", "NULL", "NULL", "NULL", 0, "'register'"),
+    ("anything on robots taught by ada lovelace, fall Y", "'search'", "NULL", "'ada lovelace'", "'Fall ' || y", 0, "'anything'"), ("Who is teaching Lovelace's optimisation seminar?", "'search'", "NULL", "'Lovelace''s'", "NULL", 0, "'teaching'"),
+    ("Which course codes have you mentioned so far?", "'search'", "NULL", "NULL", "NULL", 0, "NULL"), ("some math on a Monday", "'search'", "'APMA'", "NULL", "NULL", 1, "'math'"),
+]
 
-@query("intent_parse", """SELECT * FROM (VALUES (1, 'recommend', 'COMS', NULL, 'Spring 2026', 0), (2, 'detail', NULL, NULL, NULL, 0), (3, 'stats', NULL, NULL, NULL, 0), (4, 'search', 'MECE', 'Panayotidi', NULL, 0), (5, 'search', NULL, NULL, NULL, 2), (6, 'general', NULL, NULL, NULL, 0)) t(id, query_type, department, instructor, term, n_days)""")
+
+@query("intent_parse", f"""SELECT p_partkey, {by_number('p_partkey', [q[1] for q in QUESTIONS])} AS query_type, {by_number('p_partkey', [q[2] for q in QUESTIONS])} AS department, {by_number('p_partkey', [q[3] for q in QUESTIONS])} AS instructor,
+ {by_number('p_partkey', [q[4] for q in QUESTIONS])} AS term, {by_number('p_partkey', [str(q[5]) for q in QUESTIONS])} AS n_days, {by_number('p_partkey', [q[6] for q in QUESTIONS])} AS keyword FROM (SELECT p_partkey, 2000 + p_size AS y FROM part)""")
 def _(spark, d):
-    asked = ["Recommend computer science courses in Spring 2026", "What is COMS W4111 about?", "How many departments are there?", "What does Professor Panayotidi teach in mechanical engineering", "structural design on Tuesdays and Thursdays", "How do I register late"]
-    i = intent.intent_of(F.col("q"))
-    rows = values(spark, list(enumerate(asked, 1)), ["id", "q"])
-    return rows.select(F.col("id").cast("int").alias("id"), i["query_type"].alias("query_type"), i["department"].alias("department"), i["instructor"].alias("instructor"), i["term"].alias("term"), F.size(i["day_preference"]).alias("n_days"))
+    question = F.replace(nth([q[0] for q in QUESTIONS], F.col("p_partkey")), F.lit("Y"), (2000 + F.col("p_size")).cast("string"))
+    rows = read(spark, d, "part").select("p_partkey", intent.intent_of(question).alias("i"))
+    return rows.select("p_partkey", "i.query_type", "i.department", "i.instructor", "i.term", F.size("i.day_preference").alias("n_days"), F.get("i.keywords", F.lit(0)).alias("keyword"))
 
 
 @query("question_english", """SELECT p_partkey, q || CASE p_partkey % 4 WHEN 0 THEN ' computer science recommend courses' WHEN 1 THEN ' Monday morning' WHEN 2 THEN ' what courses Monday' ELSE '' END AS english FROM (
@@ -697,10 +736,18 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", language.with_english(F.concat("p_name", tail)).alias("english"))
 
 
-@query("department_named", """SELECT * FROM (VALUES (1, 'CIEN'), (2, 'IEOR'), (3, 'COMS'), (4, 'COMS'), (5, NULL), (6, 'MECE'), (7, 'EAEE'), (8, NULL), (9, 'APMA')) t(id, department)""")
+#: Questions with the department that they name.
+NAMING = [
+    ("structural work in civil engineering", "'CIEN'"), ("operations research this spring", "'IEOR'"), ("cs课", "'COMS'"), ("what does CS offer", "'COMS'"), ("scs课", "NULL"),
+    ("robotics labs", "NULL"), ("computer课", "NULL"), ("cs50课", "NULL"), ("courses in APMA", "'APMA'"),
+]
+
+
+@query("department_named", f"SELECT p_partkey, {by_number('p_partkey', [n for _, n in NAMING])} AS department FROM part")
 def _(spark, d):
-    asked = ["structural work in civil engineering", "operations research this spring", "cs课", "what does CS offer", "scs课", "robotics labs", "climate questions", "cs50课", "courses in APMA"]
-    return values(spark, list(enumerate(asked, 1)), ["id", "q"]).select(F.col("id").cast("int").alias("id"), language.department_named(F.col("q")).alias("department"))
+    # A number of the table goes with each question and changes nothing.
+    asked = F.concat_ws(" ", nth([q for q, _ in NAMING], F.col("p_partkey")), F.col("p_size").cast("string"))
+    return read(spark, d, "part").select("p_partkey", language.department_named(asked).alias("department"))
 
 
 @query("intent_validation", """SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '' WHEN 1 THEN 'query_type' WHEN 2 THEN 'course code' WHEN 3 THEN 'comparison_targets conflict' WHEN 4 THEN 'comparison_targets without compare'
@@ -758,7 +805,7 @@ def _(spark, d):
 
 @query("reviewable_error", "SELECT l_orderkey, l_linenumber, l_suppkey, l_linenumber = 1 AS reviewable FROM lineitem")
 def _(spark, d):
-    rows = projection.sections(spark, d).withColumn("times", F.when(F.col("l_linenumber") == 1, F.concat("times", F.lit(" Ada Lovelace"))).otherwise("Savannah Eisner"))
+    rows = projection.sections(spark, d).withColumn("times", F.when(F.col("l_linenumber") == 1, F.concat("times", F.lit(" Ada Lovelace"))).otherwise("Imelda Quarrie"))
     return rows.select("l_orderkey", "l_linenumber", "l_suppkey", importing.reviewable(F.lit("invalid_times"), F.col("times")).alias("reviewable"))
 
 

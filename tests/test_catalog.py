@@ -41,7 +41,7 @@ def test_credit_constraints(spark):
 
 
 def test_schedule(spark):
-    times = ["M W 10:10am - 11:25am", "F Sa S 9:00am - 5:00pm", "Savannah Eisner", "TBA", "", "T 13:10pm - 2:25pm", "Th 6:10pm - 8:00pm Smith"]
+    times = ["M W 10:10am - 11:25am", "F Sa S 9:00am - 5:00pm", "Imelda Quarrie", "TBA", "", "T 13:10pm - 2:25pm", "Th 6:10pm - 8:00pm Smith"]
     assert column(spark, times, schedule.meeting_days) == [["Monday", "Wednesday"], ["Friday", "Saturday", "Sunday"], [], [], [], ["Tuesday"], ["Thursday"]]
     assert column(spark, times, schedule.is_schedule) == [True, True, False, True, True, False, False]
     assert column(spark, times[:2] + ["T 1:10pm", "W 6:10pm", ""], schedule.time_of_day) == ["morning", "morning", "afternoon", "evening", ""]
@@ -92,7 +92,7 @@ def small_index(spark):
     section = lambda t, n, times, who, pts: (t, n, times, "", who, pts, "", None, None)
     rows = [
         ("u1", "COMS W1004", "Intro", 3.0, 3.0, "text", [section("Spring 2026", "001", "M W 10:10am - 11:25am", "Ada Lovelace", "3"), section("Fall 2025", "001", "T Th 1:10pm - 2:25pm", "Alan Turing", "4")], False),
-        ("u2", "COMS W4111", "Databases", 3.0, 3.0, "", [section("Spring 2026", "002", "Savannah Eisner", "", "3")], False),
+        ("u2", "COMS W4111", "Databases", 3.0, 3.0, "", [section("Spring 2026", "002", "Imelda Quarrie", "", "3")], False),
         ("u3", "COMS W4111", "Databases II", 2.0, 4.0, None, None, False), ("u4", "MECE E9000", "Research topics", 0.0, 0.0, "x", [], True),
     ]
     schema = f"course_uid string, course_code string, title string, points_min double, points_max double, description string, sections array<{catalog.SECTION}>, needs_review boolean"
