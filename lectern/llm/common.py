@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str, of: str = "") -> F.Column:
+    """A column of any name, dots and backticks included; ``of`` is the table's alias."""
+    return F.col(f"{of}." * bool(of) + "`" + column.replace("`", "``") + "`")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)

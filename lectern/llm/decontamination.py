@@ -29,11 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import durable, named
 from lectern.llm.shingles import Powers, Words, by_size, shingle_hashes
 
 SIZE = 5
 #: Benchmark text up to which the items go to every task; beyond it hashes are joined.
 BROADCAST_BYTES = 32 << 20
+#: Groups that the candidates of one document are dealt over.
+PARTS = 8
 FOUND = "array<struct<item_id:long,shared:long,shingles:long>>"
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -128,18 +131,20 @@ def finder(spark, items: list[tuple[int, str]], threshold: float):
     return contained
 
 
-def joined_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+def joined_leaks(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """What ``finder`` gives, for benchmarks of any size: signatures and shingle hashes meet in a join.
 
-    ``docs`` has a column ``row`` that names its rows.
+    ``docs`` has a column ``row`` that names its rows, ``items`` a column ``key``
+    that names its rows, so that items of one id stay apart. A document's text
+    goes once to each of ``PARTS`` groups of its candidates, which tell it from each of them.
     """
 
     def item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p in signatures([(i, t or "") for i, t in zip(batch["item_id"], batch["text"], strict=True)], threshold):
-                yield pd.DataFrame({"item_id": p["owner"], "size": p["size"], "hash": p["keys"].view(np.int64)})
+            for p in signatures([(i, t or "") for i, t in zip(batch["key"], batch["text"], strict=True)], threshold):
+                yield pd.DataFrame({"key": p["owner"], "size": p["size"], "hash": p["keys"].view(np.int64)})
 
-    signed = benchmark.mapInPandas(item_rows, "item_id long, size int, hash long")
+    signed = items.select("key", "text").mapInPandas(item_rows, "key long, size int, hash long")
     sizes = [r[0] for r in signed.select("size").distinct().collect()]
 
     def doc_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,15 +157,25 @@ def joined_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Dat
                     yield pd.DataFrame({"row": row, "size": size, "hash": made.view(np.int64)})
 
     probes = docs.select("row", "text").mapInPandas(doc_rows, "row long, size int, hash long")
-    pairs = probes.join(signed, ["size", "hash"]).select("row", "item_id", "size").distinct()
-
-    @F.pandas_udf(FOUND)
-    def check(texts: pd.Series, items: pd.Series, names: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([verified(t or "", {n: shingle_set(words_of(i), s)}, s, threshold) for t, i, n, s in zip(texts, items, names, sizes, strict=True)], dtype=object)
-
-    full = pairs.join(docs.select("row", "text"), "row").join(benchmark.select("item_id", F.col("text").alias("item")), "item_id")
-    found = full.select("row", check("text", "item", "item_id", "size").alias("leaks"))
-    return found.groupBy("row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    part = F.pmod("key", F.lit(PARTS)).cast("int").alias("part")
+    pairs = durable(probes.join(signed, ["size", "hash"]).select("row", "key", "size", part).distinct())
+    asked = pairs.join(items.select("key", "item_id", F.col("text").alias("item")), "key")
+    texts = pairs.select(F.col("row").alias("held"), F.col("part").alias("place")).distinct().join(docs.select(F.col("row").alias("held"), "text"), "held")
+
+    def check(held: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        out, here = [], {}
+        words = words_of(held["text"].iloc[0]) if len(held) else []
+        for size, item_id, item in zip(candidates["size"], candidates["item_id"], candidates["item"], strict=True):
+            if size not in here:
+                here[size] = shingle_set(words, size)
+            wanted = shingle_set(words_of(item), size)
+            shared = len(wanted & here[size])
+            if shared >= needed(len(wanted), threshold):
+                out.append((int(held["held"].iloc[0]), item_id, shared, len(wanted)))
+        return pd.DataFrame(out, columns=["row", "item_id", "shared", "shingles"])
+
+    found = texts.groupBy("held", "place").cogroup(asked.groupBy("row", "part")).applyInPandas(check, "row long, item_id long, shared long, shingles long")
+    return found.groupBy("row").agg(F.collect_list(F.struct("item_id", "shared", "shingles")).cast(FOUND).alias("leaks"))
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -171,7 +186,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, br
         found = finder(docs.sparkSession, [tuple(r) for r in items.collect()], threshold)
         return docs.withColumn("leaks", found("text"))
     rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = joined_leaks(rows.dropDuplicates(["row"]), items, threshold)
+    # Numbers of rows, written down so that they stay what they are.
+    items = durable(items.withColumn("key", F.monotonically_increasing_id()))
+    found = joined_leaks(rows.select("row", "text").dropDuplicates(["row"]), items, threshold)
     return rows.join(found, "row", "left").drop("row").withColumn("leaks", F.coalesce("leaks", F.array().cast(FOUND)))
 
 
@@ -184,6 +201,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents that contain no item, with their own columns."""
     held = docs.columns
-    inner = docs.select(F.col("text").alias("text"), F.struct(*docs.columns).alias("kept"), F.col("doc_id"))
+    inner = docs.select("text", F.struct(*map(named, docs.columns)).alias("kept"), "doc_id")
     clean = with_leaks(inner, benchmark, threshold).where(F.size("leaks") == 0)
     return clean.select(*(F.col("kept").getField(c).alias(c) for c in held))

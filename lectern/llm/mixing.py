@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lectern.llm.common import WORD, durable, parallelism, words_in
+from lectern.llm.common import WORD, durable, named, parallelism, words_in
 
 #: Rows of the per-source plan up to which it is broadcast (about 200 bytes a row).
 BROADCAST_SOURCES = 20_000
@@ -109,7 +109,7 @@ def mix(
     adds ``document``, all columns of the input.
     """
     spark, carried = docs.sparkSession, ["document"] * whole
-    sized = docs.select("doc_id", "source", words_in("text").alias("size"), F.xxhash64("doc_id", "text").alias("h"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] * whole))
+    sized = docs.select("doc_id", "source", words_in("text").alias("size"), F.xxhash64("doc_id", "text").alias("h"), *([F.struct(*map(named, docs.columns)).alias("document")] * whole))
     sized = sized if whole else durable(sized)
     found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -163,7 +163,8 @@ def draw(docs: DataFrame, shards: int = 16, length: str | None = None, **setting
 
     The text of a row with fewer words than the document is cut after so many
     words; ``length`` names a column that follows a cut text's length. A shard's rows are together and in random order; a large shard goes
-    over several partitions, each a range of that order.
+    over several partitions, each a range of that order. Columns of the
+    documents named shard, pass or words are kept as doc_shard, doc_pass and doc_words.
     """
     plan = mix(docs, shards=shards, whole=True, **settings)
     rows = plan.select("document", "size", F.explode("placements").alias("p"))
@@ -172,7 +173,8 @@ def draw(docs: DataFrame, shards: int = 16, length: str | None = None, **setting
     words = F.regexp_extract_all("document.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.col("p.words") < F.col("size")
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("p.words").cast("int")), "")).otherwise(F.col("document.text"))
-    size = lambda c: F.when(cut, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(f"document.`{c}`"))
-    own = [text.alias(c) if c == "text" else size(c).alias(c) if c == length else F.col(f"document.`{c}`") for c in docs.columns if c not in ("shard", "pass", "words")]
+    size = lambda c: F.when(cut, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col("document").getField(c))
+    kept = {c: f"doc_{c}" if c in ("shard", "pass", "words") else c for c in docs.columns}
+    own = [text.alias(name) if c == "text" else size(c).alias(name) if c == length else F.col("document").getField(c).alias(name) for c, name in kept.items()]
     rows = rows.withColumn("piece", piece).repartition("p.shard", "piece").sortWithinPartitions("p.shard", "p.order_key")
     return rows.select(*own, "p.shard", "p.pass", "p.words")

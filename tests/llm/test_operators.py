@@ -237,6 +237,28 @@ def test_token_counts(spark, docs):
     assert tokens.count_tokens(empty(spark)).count() == 0
 
 
+def test_decontamination_tells_items_of_one_id_apart(spark):
+    """Items of one id with different texts, equal items, and items of several sizes: both paths give the same rows."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = [(7, " ".join(words[:3])), (7, " ".join(words[:7])), (7, " ".join(words[:7])), (8, " ".join(words)), (9, "alpha beta"), (9, None), (None, "alpha")]
+    texts = [(1, "alpha beta gamma"), (2, "so alpha beta gamma delta epsilon it is"), (3, " ".join(words)), (3, " ".join(words)), (4, None), (5, ""), (6, "x " + " ".join(words) * 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = made(spark, [(i, t, "en", "s") for i, t in texts])
+    flat = lambda limit: sorted(tuple(r) for r in decontamination.with_leaks(docs, bench, broadcast_bytes=limit).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*").collect())
+    want = []
+    for i, t in texts:
+        here = decontamination.words_of(t)
+        for item, q in items:
+            size = min(5, len(decontamination.words_of(q)))
+            if item is None or not size:
+                continue
+            wanted = decontamination.shingle_set(decontamination.words_of(q), size)
+            shared = len(wanted & decontamination.shingle_set(here, size))
+            if shared >= decontamination.needed(len(wanted), 0.8):
+                want.append((i, item, shared, len(wanted)))
+    assert flat(1 << 20) == flat(0) == sorted(want)
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
