@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lectern.operators.repair import digest_sums
+
 VERSION = ["created_at_ns", "revision", "version_id"]
 
 
@@ -21,16 +23,42 @@ def with_revisions(versions: DataFrame, key: list[str]) -> DataFrame:
     return versions.withColumn("revision", F.row_number().over(W.partitionBy(*key).orderBy("created_at_ns", "version_id")))
 
 
+def new_versions(stored: DataFrame | None, versions: DataFrame, key: list[str], version: str = "version_id") -> DataFrame:
+    """Versions whose id isn't stored, each once, with revisions that go on from those of their identity, by creation."""
+    rows = versions.drop("revision")
+    rest = [c for c in rows.columns if c != version]
+    rows = rows.groupBy(version).agg(F.min_by(F.struct(*rest), "created_at_ns").alias("r")).select(version, "r.*")
+    last = None
+    if stored is not None:
+        rows = rows.join(stored.select(version), version, "left_anti")
+        last = stored.groupBy(*key).agg(F.max("revision").alias("_last"))
+        rows = rows.join(last, key, "left")
+    place = F.row_number().over(W.partitionBy(*key).orderBy("created_at_ns", version))
+    rows = rows.withColumn("revision", place if last is None else place + F.coalesce("_last", F.lit(0)))
+    return rows.drop("_last").select(*(stored.columns if stored is not None else [*versions.drop("revision").columns, "revision"]))
+
+
+def effective(versions: DataFrame, key: list[str], *, published: bool = True) -> DataFrame:
+    """What readers see: the last published version of each identity; without ``published`` the last of any status, as administrators do."""
+    rest = [c for c in versions.columns if c not in key]
+    counts = (F.col("status") == "published") if published else F.lit(True)
+    best = versions.groupBy(*key).agg(F.max_by(F.struct(*rest), F.when(counts, F.struct("revision", "version_id"))).alias("v"))
+    return best.where("v is not null").select(*key, *(F.col("v").getField(c).alias(c) for c in rest))
+
+
 def active_versions(versions: DataFrame, key: list[str]) -> DataFrame:
     """The last published version of each identity."""
     return versions.groupBy(*key).agg(F.max_by("version_id", F.when(F.col("status") == "published", F.col("revision"))).alias("active")).where("active is not null")
 
 
 def manifest(versions: DataFrame, key: list[str]) -> DataFrame:
-    """One row: identities, versions, and versions by status."""
-    return versions.agg(
-        F.countDistinct(F.struct(*key)).alias("identities"), F.count(F.lit(1)).alias("versions"),
-        *(F.count_if(F.col("status") == s).alias(s) for s in ("published", "review", "rejected")),
+    """One row: identities, versions, versions by status, identities with a published version, and a digest of all rows."""
+    status = lambda s: F.count_if(F.col("status") == s)
+    statuses = ("published", "review", "rejected")
+    each = versions.groupBy(*key).agg(F.count(F.lit(1)).alias("versions"), *(status(s).alias(s) for s in statuses), *digest_sums(sorted(versions.columns)))
+    return each.agg(
+        F.count(F.lit(1)).alias("identities"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("versions", *statuses)),
+        F.count_if(F.col("published") > 0).alias("effective"), *(F.sum(c).cast("string").alias(c) for c in ("digest_a", "digest_b")),
     )
 
 

@@ -17,6 +17,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, guard: list[str
     return a.join(b, F.col("a_key") == F.col("b_key"), "full_outer").select(F.coalesce("a_key", "b_key").alias(key), kind.alias("kind"))
 
 
+def digest_sums(columns: list[str]) -> list[Column]:
+    """Aggregates digest_a and digest_b: the two halves of each row's SHA-256 as numbers, added up."""
+    h = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+    return [F.sum(F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)")).alias(name) for i, name in ((1, "digest_a"), (16, "digest_b"))]
+
+
 def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: n_rows and a digest of the rows that doesn't depend on their order.
 
@@ -24,10 +30,8 @@ def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     included, so it is a sum like any other: added up where rows are read, and
     no row's hash is gathered.
     """
-    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    h = F.sha2(line, 256)
-    part = lambda i: F.sum(F.conv(F.substring(h, i, 15), 16, 10).cast("decimal(38,0)"))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), part(1).cast("string").alias("digest_a"), part(16).cast("string").alias("digest_b"))
+    sums = rows.agg(F.count(F.lit(1)).alias("n_rows"), *digest_sums(columns))
+    return sums.select("n_rows", *(F.col(c).cast("string").alias(c) for c in ("digest_a", "digest_b")))
 
 
 def repair_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import codes, credits, prerequisites, schedule, suitability, text, web
-from lectern.operators import analytics, answers, catalog, conversation, crawl, importing, overlays, repair, retrieval
+from lectern.operators import analytics, answers, catalog, conversation, crawl, digests, importing, overlays, repair, retrieval
 from lectern.plans import intent, language, projection, validation
 from lectern.sources import indexes
 from lectern.streaming import protocol, rate
@@ -499,9 +499,44 @@ def _(spark, d):
     return overlays.active_versions(overlays.with_revisions(version_log(spark, d), ["uid"]), ["uid"])
 
 
-@query("store_manifest", f"WITH {LOG} SELECT count(DISTINCT uid) AS identities, count(*) AS versions, count(*) FILTER (status = 'published') AS published, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'rejected') AS rejected FROM log")
+@query("store_manifest", f"""WITH {LOG}, hashed AS (SELECT *, sha256(concat_ws('|', created_at_ns, status, uid, version_id)) AS h FROM log)
+SELECT count(DISTINCT uid) AS identities, count(*) AS versions, count(*) FILTER (status = 'published') AS published, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'rejected') AS rejected,
+ count(DISTINCT uid) FILTER (status = 'published') AS effective, sum(('0x' || substr(h, 1, 15))::bigint)::varchar AS digest_a, sum(('0x' || substr(h, 16, 15))::bigint)::varchar AS digest_b FROM hashed""")
 def _(spark, d):
-    return overlays.manifest(version_log(spark, d), ["uid"])
+    return overlays.manifest(version_log(spark, d).drop("price"), ["uid"])
+
+
+@query("version_append", f"""WITH {LOG}, stored AS (SELECT uid, version_id, row_number() OVER (PARTITION BY uid ORDER BY created_at_ns, version_id) AS revision FROM log WHERE version_id % 3 = 0),
+last AS (SELECT uid, max(revision) AS n FROM stored GROUP BY uid)
+SELECT l.uid, version_id, (coalesce(n, 0) + row_number() OVER (PARTITION BY l.uid ORDER BY created_at_ns, version_id))::int AS revision FROM log l LEFT JOIN last ON last.uid = l.uid WHERE version_id % 2 = 0 AND version_id % 3 <> 0""")
+def _(spark, d):
+    log = version_log(spark, d)
+    stored = overlays.with_revisions(log.where("version_id % 3 = 0"), ["uid"])
+    # Each version comes twice.
+    fresh = log.where("version_id % 2 = 0")
+    return overlays.new_versions(stored, fresh.union(fresh), ["uid"]).select("uid", "version_id", "revision")
+
+
+@query("effective_snapshot", f"""WITH {LOG}, seen AS (SELECT uid, arg_max(version_id, (created_at_ns, version_id)) AS last, arg_max(version_id, (created_at_ns, version_id)) FILTER (status = 'published') AS active FROM log GROUP BY uid)
+SELECT uid, last, active FROM seen""")
+def _(spark, d):
+    log = overlays.with_revisions(version_log(spark, d), ["uid"])
+    seen = overlays.effective(log, ["uid"]).select("uid", F.col("version_id").alias("active"))
+    return overlays.effective(log, ["uid"], published=False).select("uid", F.col("version_id").alias("last")).join(seen, "uid", "left")
+
+
+@query("digest_levels", """WITH leaves AS (SELECT c_nationkey::varchar AS a, c_mktsegment AS b, c_custkey::varchar AS c, sha256(c_custkey || '|' || c_name || '|' || c_nationkey) AS digest FROM customer),
+b AS (SELECT a, b, count(*) AS children, sum(('0x' || substr(h, 1, 15))::bigint)::varchar AS x, sum(('0x' || substr(h, 16, 15))::bigint)::varchar AS y FROM (SELECT *, sha256(c || ':' || digest) AS h FROM leaves) GROUP BY ALL),
+bd AS (SELECT a, b, children, sha256(children || '|' || x || '|' || y) AS digest FROM b),
+a AS (SELECT a, count(*) AS children, sum(('0x' || substr(h, 1, 15))::bigint)::varchar AS x, sum(('0x' || substr(h, 16, 15))::bigint)::varchar AS y FROM (SELECT *, sha256(b || ':' || digest) AS h FROM bd) GROUP BY ALL),
+ad AS (SELECT a, children, sha256(children || '|' || x || '|' || y) AS digest FROM a),
+r AS (SELECT count(*) AS children, sum(('0x' || substr(h, 1, 15))::bigint)::varchar AS x, sum(('0x' || substr(h, 16, 15))::bigint)::varchar AS y FROM (SELECT sha256(a || ':' || digest) AS h FROM ad))
+SELECT a || '/' || b || '/' || c AS path, 0 AS children, digest FROM leaves UNION ALL SELECT a || '/' || b, children, digest FROM bd UNION ALL SELECT a, children, digest FROM ad
+UNION ALL SELECT '', children, sha256(children || '|' || x || '|' || y) FROM r""")
+def _(spark, d):
+    path = F.array(F.col("c_nationkey").cast("string"), "c_mktsegment", F.col("c_custkey").cast("string"))
+    leaves = read(spark, d, "customer").select(path.alias("path"), digests.row_digest(F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey")).alias("digest"))
+    return digests.tree(leaves, 3).select(F.array_join("path", "/").alias("path"), "children", "digest")
 
 
 @query("points_widen", """SELECT c.course_uid, least(min(c.points_min), min(cast(l_quantity AS int) % 7)) AS points_min, greatest(max(c.points_max), max(cast(l_quantity AS int) % 7)) AS points_max

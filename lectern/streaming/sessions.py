@@ -81,10 +81,8 @@ def evicted(sessions: DataFrame, key: str, used: str, active: str, most: int) ->
     """
     place = F.struct(used, key)
     newest = sessions.select(place.alias("place")).orderBy(F.desc("place")).limit(most)
-    kept = newest.agg(F.min("place").alias("first_kept"), F.count(F.lit(1)).alias("held"))
-    waits = sessions.where(active).agg(F.min(place).alias("oldest_active"))
-    # Both sides are one row.
-    bounds = kept.crossJoin(waits)
-    rows = sessions.join(F.broadcast(bounds))
-    older = (place < F.col("first_kept")) | F.lit(most == 0)
-    return rows.where(older & (F.col("oldest_active").isNull() | (place < F.col("oldest_active")))).select(sessions.columns)
+    kept, waits = newest.agg(F.min("place")).first()[0], sessions.where(active).agg(F.min(place)).first()[0]
+    before = lambda bound: (F.col(used) < bound[0]) | ((F.col(used) == bound[0]) & (F.col(key) < bound[1]))
+    for bound in (kept, waits):
+        sessions = sessions if bound is None else sessions.where(before(bound))
+    return sessions
