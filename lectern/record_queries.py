@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import codes, credits, schedule, text
-from lectern.operators import answers, conversation, crawl, importing, overlays, records, repair, retrieval
+from lectern.operators import answers, conversation, crawl, dictionary, evidence, importing, overlays, records, repair, retrieval, robots
 from lectern.plans import projection, routing
+from lectern.sources import course_pages
 from lectern.queries import QUALITY, VISIBLE, index, query, read
 from lectern.streaming import protocol
 
@@ -30,10 +31,59 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", records.same_set(pair(a), pair(b)).alias("same"))
 
 
-@query("robots_allow", "SELECT page_id, NOT starts_with(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/a') AS allowed FROM pages")
+@query("robots_allow", r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^#]*)', 1) AS rest FROM pages),
+p AS (SELECT page_id, host, CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END AS path FROM u),
+-- Hosts by the length of their name: the first has a group of the agent's own, the second only the general one, the third none.
+g AS (SELECT *, length(host) % 3 AS kind FROM p),
+r AS (SELECT * FROM (VALUES (0, true, '/en/'), (0, false, '/'), (0, false, '/en/1'), (0, true, '/en/1*/'), (1, false, '/fr'), (1, true, '/fr/1'), (1, false, '/*?page='), (1, false, '/de/')) t(kind, allow, rule)),
+m AS (SELECT page_id, rule, allow FROM g JOIN r ON g.kind = r.kind AND (CASE WHEN contains(rule, '*') THEN regexp_matches(path, '^' || replace(replace(rule, '?', '\?'), '*', '.*')) ELSE starts_with(path, rule) END))
+SELECT g.page_id, coalesce(arg_max(allow, (length(rule), allow)), true) AS allowed, arg_max(rule, (length(rule), allow)) AS rule FROM g LEFT JOIN m ON m.page_id = g.page_id GROUP BY g.page_id""")
 def _(spark, d):
-    path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
-    return read(spark, d, "pages").select("page_id", records.robots_allow(path, F.array(F.lit(""), F.lit("/a"))).alias("allowed"))
+    pages = read(spark, d, "pages").select("page_id", "url")
+    hosts = pages.select(robots.host(F.col("url")).alias("host")).distinct()
+    own = "User-agent: *\nDisallow: /all\n\nUser-agent: Other\nUser-agent: lectern\nAllow: /en/ # theirs\nDisallow: /\nDisallow: /en/1\nAllow: /en/1*/\nCrawl-delay: 3"
+    general = "User-agent: lect-other\nDisallow: /\n\nUSER-AGENT: *\nDisallow: /fr\nAllow: /fr/1\nDisallow: /*?page=\nno colon\nDisallow: /de/"
+    text = F.element_at(F.array(F.lit(own), F.lit(general), F.lit("Sitemap: https://x/y")), (F.length("host") % 3 + 1).cast("int"))
+    return robots.decided(pages, robots.rules(hosts.withColumn("text", text)), "Lectern/1.0").select("page_id", "allowed", "rule")
+
+
+@query("dictionary_join", """WITH terms AS (SELECT DISTINCT p_name AS phrase FROM part UNION SELECT unnest(['tion', 'the', 'é', 'of the', '<p>', 'example.'])),
+t AS (SELECT page_id, lower(html) AS body FROM pages)
+SELECT page_id, phrase, strpos(body, lower(phrase)) - 1 AS first, (length(body) - length(replace(body, lower(phrase), ''))) // length(phrase) AS n FROM t JOIN terms ON contains(body, lower(phrase))""")
+def _(spark, d):
+    more = spark.createDataFrame([(p,) for p in ("tion", "the", "é", "of the", "<p>", "example.")], "phrase string")
+    terms = read(spark, d, "part").select(F.col("p_name").alias("phrase")).union(more)
+    places = dictionary.found(read(spark, d, "pages"), "page_id", "html", terms, "phrase")
+    # None of these phrases overlaps itself, so all places are counted.
+    return places.groupBy("page_id", "phrase").agg(F.min("start").cast("long").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+@query("first_match", "SELECT c_custkey, arg_min(p_partkey, (p_size, p_partkey)) AS p_partkey, min(p_size) AS p_size FROM customer JOIN part ON c_custkey % 40 = p_partkey % 50 GROUP BY 1")
+def _(spark, d):
+    people = read(spark, d, "customer").select("c_custkey")
+    things = read(spark, d, "part").select("p_partkey", "p_size", F.struct("p_size", "p_partkey").alias("at"))
+    return dictionary.first_match(people, things, F.col("c_custkey") % 40, F.col("p_partkey") % 50, "at").select("c_custkey", "p_partkey", "p_size")
+
+
+@query("course_page_sections", """SELECT course_uid, term, section_id AS section_call_number, times, instructor, CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE points || '0' END AS points, current_n AS enrollment_current, capacity_n AS enrollment_capacity, count(*)::bigint AS n
+ FROM section GROUP BY ALL""", True)
+def _(spark, d):
+    rows = projection.sections(spark, d)
+    order = F.pmod(F.col("l_orderkey"), F.lit(3))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    seats = F.concat_ws("/", "enrollment_current", "enrollment_capacity")
+    number, call, when, who, points = (cell(c) for c in (F.lit("1234"), F.concat(F.lit("<b>"), "section_call_number", F.lit("</b>")), F.concat("times", F.lit("<br/>")), F.col("instructor"), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise(F.col("points"))))
+    heads = lambda *names: "<tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"
+    # Columns in the usual order without headers, then in two other orders with them.
+    head = F.element_at(F.array(F.lit(""), F.lit(heads("Instructor", "Course Number", "Section/Call  Number", "Enrollment", "Times/Location", "Points")), F.lit(heads("Enrollment", "Points", "Instructor", "Times/Location", "Section/Call Number", "Course Number"))), (order + 1).cast("int"))
+    row = F.when(order == 0, F.concat(number, call, when, who, points, cell(seats))).when(order == 1, F.concat(who, number, call, cell(seats), when, points)).otherwise(F.concat(cell(seats), points, who, when, call, number))
+    table = F.concat(F.lit("<div class='desc_sched'><table class='scheduletbl x'><tr><td colspan=6>"), "term", F.lit(": 1234</td></tr>"), head, F.lit("<tr>"), row, F.lit("</tr></table></div>"))
+    block = rows.groupBy("course_uid").agg(F.array_join(F.array_sort(F.collect_list(table)), "").alias("tables"))
+    html = F.concat(F.lit("<html><head><title>T</title></head><body><main><h1>Dept</h1><div id='sc_courseblock'><div class='courseblock'><p class='courseblocktitle'><strong>COMS W1004 Intro. 3 points</strong></p><p>Text &amp; more"), "tables", F.lit("</div></div></main></body></html>"))
+    found = course_pages.sections(course_pages.courses(block.select(F.col("course_uid").alias("url"), html.alias("html"))))
+    # Sections that repeat in all that names them are one on a page; here orders tell them apart, so each is counted.
+    keys = ["course_uid", "term", "section_call_number", "times", "instructor"]
+    return found.withColumnRenamed("url", "course_uid").groupBy(*keys, "points", "enrollment_current", "enrollment_capacity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("first_sentence", r"SELECT doc_id, md5(CASE WHEN regexp_matches(text, '(?s)^.*?[.?!]\s+.*$') THEN regexp_extract(text, '(?s)^(.*?[.?!])\s+', 1) ELSE text END) AS first FROM documents")
@@ -276,3 +326,38 @@ def _(spark, d):
     mode = F.element_at(F.array(F.lit("cloud"), F.lit("local"), F.lit("hybrid")), (key % 3 + 1).cast("int"))
     h = routing.health(mode, key % 2 == 0, key % 5 == 0, F.lit(False), F.col("n_regionkey"))
     return read(spark, d, "nation").select("n_nationkey", h["status"].alias("status"), F.array_join(h["reasons"], ",").alias("reasons"))
+
+
+# Evidence: texts made of orders and their lines, and claims about them, some of them wrong
+
+SYLLABUS = """lines AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS doc_id, l_linenumber AS n, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey),
+said AS (SELECT doc_id, n, ['Fall', 'Spring', 'Summer'][n % 3 + 1] || ' ' || (2020 + n) AS term, lpad(n::varchar, 3, '0') || '/' || (10000 + l_suppkey) AS id,
+ 'Teacher ' || chr((64 + n)::int) || ' ' || translate(l_suppkey::varchar, '0123456789', 'abcdefghij') AS name, n % 4 + 1 AS points FROM lines),
+texts AS (SELECT doc_id, 'Outline of ' || translate(doc_id::varchar, '0123456789', 'abcdefghij') || '. ' || string_agg(term || ' section ' || id || ' by ' || name || ', ' || points || ' points', '; ' ORDER BY n) AS text FROM said GROUP BY doc_id)"""
+
+
+@query("evidence_bundle", f"""WITH {SYLLABUS}, asked AS (
+ SELECT doc_id, NULL::bigint AS section, 'title' AS field, 'OUTLINE OF ' || upper(translate(doc_id::varchar, '0123456789', 'abcdefghij')) AS value, 0 AS start, length(value)::int AS stop, false AS tied FROM texts
+ UNION ALL SELECT said.doc_id, n, 'term', CASE WHEN n % 5 = 0 THEN 'Winter 1999' ELSE term END, CASE WHEN n % 5 <> 0 THEN strpos(text, term) - 1 END, strpos(text, term) - 1 + length(term), n % 5 <> 0 FROM said JOIN texts USING (doc_id)
+ UNION ALL SELECT said.doc_id, n, 'section_id', id, strpos(text, id) - 1, strpos(text, id) - 1 + length(id), n % 5 <> 0 FROM said JOIN texts USING (doc_id)
+ UNION ALL SELECT said.doc_id, n, 'instructor', CASE WHEN n % 3 = 0 THEN 'Teacher Q' ELSE lower(name) END, CASE WHEN n % 5 <> 0 AND n % 3 <> 0 THEN strpos(text, name) - 1 END, strpos(text, name) - 1 + length(name), n % 5 <> 0 FROM said JOIN texts USING (doc_id)
+ UNION ALL SELECT said.doc_id, n, 'points', points || '.0', CASE WHEN n % 5 <> 0 THEN strpos(text, name || ',') + length(name) + 1 END, strpos(text, name || ',') + length(name) + 1 + length(points || ' points'), n % 5 <> 0 FROM said JOIN texts USING (doc_id))
+SELECT doc_id, section, field, value, start IS NOT NULL AS verified, start::int AS start, CASE WHEN start IS NOT NULL THEN stop::int END AS stop, tied AS identity_associated FROM asked""")
+def _(spark, d):
+    letters = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_suppkey").alias("l_suppkey"))
+    n = F.col("n")
+    said = lines.select(
+        "doc_id", "n", F.concat_ws(" ", F.element_at(F.array(F.lit("Fall"), F.lit("Spring"), F.lit("Summer")), (n % 3 + 1).cast("int")), (2020 + n).cast("string")).alias("term"),
+        F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit("/"), (10_000 + F.col("l_suppkey")).cast("string")).alias("id"),
+        F.concat(F.lit("Teacher "), F.chr((64 + n).cast("int")), F.lit(" "), letters(F.col("l_suppkey"))).alias("name"), (n % 4 + 1).cast("string").alias("points"))
+    line = F.concat("term", F.lit(" section\n "), "id", F.lit(" by "), "name", F.lit(", "), "points", F.lit("  points"))
+    texts = said.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("s")))).alias("l"))
+    texts = texts.select("doc_id", F.concat(F.lit("Outline of "), letters(F.col("doc_id")), F.lit(". "), F.array_join(F.transform("l", lambda x: x["s"]), "; ")).alias("text"))
+    claim = lambda field, value: F.struct(n.cast("long").alias("section"), F.lit(field).alias("field"), value.alias("value"))
+    made = F.array(
+        claim("term", F.when(n % 5 == 0, "Winter 1999").otherwise(F.col("term"))), claim("section_id", F.col("id")),
+        claim("instructor", F.when(n % 3 == 0, "Teacher Q").otherwise(F.lower("name"))), claim("points", F.concat("points", F.lit(".0"))))
+    claims = said.select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
+    title = texts.select("doc_id", F.lit(None).cast("long").alias("section"), F.lit("title").alias("field"), F.upper(F.concat(F.lit("Outline of "), letters(F.col("doc_id")))).alias("value"))
+    return evidence.bundle(texts, claims.union(title)).drop("quote")

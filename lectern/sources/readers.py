@@ -22,6 +22,36 @@ def with_integrity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problem", wrong)
 
 
+def quarantined(spark: SparkSession, path: str, schema: str = COURSE, key: str = "course_uid", form: str = "^[0-9a-f]{40}$") -> DataFrame:
+    """A row for every JSON file below ``path``: its columns, file_name, the text that couldn't be read, and ``problem``.
+
+    ``problem`` is unreadable (no JSON object of the schema, or not all of it),
+    invalid_uid, file_name_mismatch or null. Each file is in one class, so the
+    classes add up to the files.
+    """
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    rows = rows.withColumns({"file_name": F.col("_metadata.file_name"), "file_path": F.col("_metadata.file_path")})
+    unreadable = F.col("_corrupt_record").isNotNull() | F.col(key).isNull()
+    wrong = F.when(unreadable, "unreadable").when(~F.col(key).rlike(form), "invalid_uid").when(F.col("file_name") != F.concat(key, F.lit(".json")), "file_name_mismatch")
+    return rows.withColumn("problem", wrong)
+
+
+def split_sinks(rows: DataFrame, path: str) -> DataFrame:
+    """Write good, unreadable and mismatched rows of ``quarantined`` to folders of ``path`` in one pass; (sink, rows) of what was written."""
+    sink = F.when(F.col("problem").isNull(), "good").when(F.col("problem") == "unreadable", "unreadable").otherwise("mismatched")
+    rows.withColumn("sink", sink).write.partitionBy("sink").mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path).groupBy("sink").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def snapshot_pages(pages: DataFrame, files: DataFrame, run_id: str) -> DataFrame:
+    """Course pages of a crawl (source_page_url, is_course_page) with the raw file of each: file, html, sha256 and problem (no_url, no_file, null)."""
+    named = F.concat(F.lit(f"{run_id}__"), file_name(F.col("source_page_url")), F.lit(".html"))
+    rows = pages.where("is_course_page").withColumn("file", F.when(F.trim("source_page_url") != "", named))
+    rows = rows.join(files.select(F.col("name").alias("file"), "html"), "file", "left")
+    problem = F.when(F.col("file").isNull(), "no_url").when(F.col("html").isNull(), "no_file")
+    return rows.select("source_page_url", "file", "html", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), problem.alias("problem"))
+
+
 def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a file that holds one JSON array; anything else gives none."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
