@@ -9,6 +9,7 @@ from lectern.functions.codes import department, extract_codes, level
 from lectern.functions.credits import enrollment_value, points_value
 from lectern.functions.schedule import CLOCK, is_schedule, is_term, meeting_days, time_of_day
 from lectern.functions.text import let, squash
+from lectern.session import materialised
 
 #: Fixed value: titles of placeholder and research courses.
 PLACEHOLDER = (
@@ -86,6 +87,68 @@ def section_summary(s: Column) -> Column:
     return let(found, body)
 
 
+#: Different cells up to which what was read out of them goes to every task.
+BROADCAST_CELLS = 100_000
+
+
+def read_cells(rows: DataFrame) -> DataFrame:
+    """(field, cell, read): what each different cell of a few fields says, read once however many sections have it."""
+    fields = ("times", "term", "instructor", "points", "enrollment_raw")
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields))
+    cells = rows.select(F.explode(pairs).alias("p")).select("p.field", "p.cell").distinct()
+    text, raw = squash(F.col("cell")), enrollment_value(F.col("cell"))
+    of = lambda field, value: F.when(F.col("field") == field, value)
+    wrong = of("term", (text != "") & ~is_term(text)), of("times", ~is_schedule(F.col("cell"))), of("instructor", not_a_name(F.col("cell"))), of("points", points_value(F.col("cell")).isNull()), of("enrollment_raw", ~raw["ok"])
+    read = F.struct(
+        text.alias("text"), F.coalesce(*wrong).alias("wrong"), of("times", meeting_days(F.col("cell"))).alias("days"), of("times", time_of_day(text)).alias("time_of_day"),
+        of("enrollment_raw", raw["current"]).alias("current"), of("enrollment_raw", raw["capacity"]).alias("capacity"),
+    )
+    return materialised(cells.select("field", "cell", read.alias("read")))
+
+
+def validated(rows: DataFrame, identity: bool = False) -> DataFrame:
+    """Flat sections with ``summary``, as ``section_summary`` gives it for one section.
+
+    Cells are read in a table of the different ones and joined back; all else is
+    plain columns, so that fields nobody asks for aren't computed.
+    """
+    cells = read_cells(rows)
+    small = F.broadcast if cells.count() <= BROADCAST_CELLS else (lambda x: x)
+    for f in ("times", "term", "instructor", "points", "enrollment_raw"):
+        one = cells.where(F.col("field") == f).select(F.col("cell").alias(f"_c_{f}"), F.col("read").alias(f"_{f}"))
+        rows = rows.join(small(one), F.col(f).eqNullSafe(F.col(f"_c_{f}")), "left").drop(f"_c_{f}")
+    current, capacity, raw = F.col("enrollment_current"), F.col("enrollment_capacity"), F.col("_enrollment_raw")
+    fine = ~raw["wrong"]
+    beyond = lambda n: F.coalesce((n < 0) | (n > 100_000), F.lit(False))
+    number = squash(F.col("section_call_number"))
+    checks = [
+        (F.col("_term.wrong"), "invalid_term"), ((F.col("_term.text") == "") & F.lit(identity), "missing_term"), ((number == "") & F.lit(identity), "missing_section_id"),
+        (F.col("_times.wrong"), "invalid_times"), (F.col("_instructor.wrong"), "invalid_instructor"), (F.col("_points.wrong"), "invalid_points"), (~fine, "invalid_enrollment_raw"),
+        (fine & beyond(current), "invalid_enrollment_current"), (fine & beyond(capacity), "invalid_enrollment_capacity"),
+        (fine & ~beyond(current) & (raw["current"] != current), "enrollment_current_mismatch"), (fine & ~beyond(capacity) & (raw["capacity"] != capacity), "enrollment_capacity_mismatch"),
+    ]
+    named = lambda pairs: F.array_compact(F.array(*(F.when(c, name) for c, name in pairs)))
+    good = lambda n: F.when(n.between(0, 100_000), n)
+    seats, room = F.coalesce(good(current), raw["current"]), F.coalesce(good(capacity), raw["capacity"])
+    warnings = [(fine & (seats > room), "enrollment_exceeds_capacity"), (fine & room.isNull() & seats.isNotNull(), "enrollment_capacity_unknown")]
+    rows = rows.withColumns({"_errors": named(checks), "_warnings": named(warnings)})
+    sound = F.size("_errors") == 0
+    summary = F.struct(
+        number.alias("section_id"), F.col("_term.text").alias("term"), F.col("_times.text").alias("times"), F.when(sound, F.col("_times.days")).otherwise(F.array().cast("array<string>")).alias("days"),
+        F.when(sound, F.col("_times.time_of_day")).otherwise("").alias("time_of_day"), F.col("_instructor.text").alias("instructor"), squash(F.col("location")).alias("location"), F.col("_points.text").alias("points"),
+        current.alias("enrollment_current"), capacity.alias("enrollment_capacity"), F.when(sound & (F.size("_warnings") == 0), "published").otherwise("review").alias("status"),
+        F.col("_errors").alias("errors"), F.col("_warnings").alias("warnings"),
+    )
+    return rows.withColumn("summary", summary).drop("_errors", "_warnings", *(f"_{f}" for f in ("times", "term", "instructor", "points", "enrollment_raw")))
+
+
+def summaries(sections: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, checked): the summaries of each course's sections, in order."""
+    rows = validated(sections).select(key, F.struct(*order, "summary").alias("s"))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return grouped.select(key, F.col("s.summary").alias("checked"))
+
+
 def course_warnings(needs_review: Column, review_warnings: Column, parse_warnings: Column) -> Column:
     """Course-level warnings: explicit ones, else those of the parser that are not about sections."""
     parsed = F.filter(F.coalesce(parse_warnings, F.array().cast("array<string>")), lambda w: (w != "enrollment_parse_warning") & ~w.startswith("section_validation:"))
@@ -121,14 +184,19 @@ def searchable_text(names: dict[str, str]) -> Column:
     return F.lower(squash(F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), " ")))
 
 
-def enrich(courses: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+def enrich(courses: DataFrame, names: dict[str, str] | None = None, checked: DataFrame | None = None) -> DataFrame:
     """The index: one row per course with its published sections apart from those to review.
 
-    ``courses`` has the detail columns and ``sections``, an array of SECTION.
+    ``courses`` has the detail columns and ``sections``, an array of SECTION; or
+    ``checked`` has the ``summaries`` of flat sections by course_uid.
     The index holds what queries rank and filter by, so that they read no more.
     """
-    all_sections = F.transform(F.coalesce("sections", F.array().cast(f"array<{SECTION}>")), section_summary)
-    rows = courses.withColumn("checked", all_sections).withColumns({
+    if checked is None:
+        rows = courses.withColumn("checked", F.transform(F.coalesce("sections", F.array().cast(f"array<{SECTION}>")), section_summary))
+    else:
+        rows = courses.join(checked, "course_uid", "left")
+        rows = rows.withColumn("checked", F.coalesce("checked", F.array().cast(rows.schema["checked"].dataType)))
+    rows = rows.withColumns({
         "sections_summary": F.filter("checked", lambda s: s["status"] == "published"),
         "review_sections_summary": F.filter("checked", lambda s: s["status"] != "published"),
     })

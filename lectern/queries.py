@@ -42,7 +42,8 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.enrich(projection.details(spark, d), projection.NAMES)
+    checked = catalog.summaries(projection.sections(spark, d), "course_uid", ["l_orderkey", "l_linenumber", "l_suppkey"])
+    return catalog.enrich(projection.courses(spark, d), projection.NAMES, checked)
 
 
 def values(spark: SparkSession, rows: list, names: list[str]) -> DataFrame:
@@ -95,8 +96,7 @@ SELECT course_uid, section_id, l_orderkey, l_suppkey, CASE WHEN published THEN '
  CASE WHEN l_linenumber = 6 THEN 'invalid_times' ELSE '' END AS errors, CASE WHEN current_n > capacity_n THEN 'enrollment_exceeds_capacity' ELSE '' END AS warnings FROM section""", True)
 def _(spark, d):
     rows = projection.sections(spark, d)
-    s = catalog.section_summary(F.struct(*projection.SECTION_FIELDS))
-    return rows.withColumn("s", s).select("course_uid", F.col("s.section_id").alias("section_id"), "l_orderkey", "l_suppkey", F.col("s.status").alias("status"), F.array_join("s.errors", ",").alias("errors"), F.array_join("s.warnings", ",").alias("warnings"))
+    return catalog.validated(rows).withColumnRenamed("summary", "s").select("course_uid", F.col("s.section_id").alias("section_id"), "l_orderkey", "l_suppkey", F.col("s.status").alias("status"), F.array_join("s.errors", ",").alias("errors"), F.array_join("s.warnings", ",").alias("warnings"))
 
 
 @query("validation_error_counts", """

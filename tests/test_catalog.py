@@ -191,3 +191,18 @@ def test_citations_and_digest(spark):
 def test_projection_slice(spark):
     rows = retrieval.stage1(catalog.enrich(projection.details(spark, "/root/testdata/sf0.001")), retrieval.Filters(department="SMAL", term="Spring 1998", days=("Monday", "Wednesday")))
     assert rows.count() > 0
+
+
+def test_validated_as_one_by_one(spark):
+    """Flat validation through different cells gives what the expression for one section does, nulls and odd cells included."""
+    import itertools
+
+    kind = "k int, term string, section_call_number string, times string, location string, instructor string, points string, enrollment_raw string, enrollment_current int, enrollment_capacity int"
+    cells = [["Fall 2025", "", None, "fall  2025", "2025"], ["001", None], ["M W 10:10am - 11:25am", "Imelda Quarrie", "TBA", None, "T 13:10pm - 2:25pm"], ["Ada Lovelace", "3", "20/30", None], ["3.00", "", None, "40", "1-4"], ["20/30", "x", "", None, "7"]]
+    made = [(*c[:3], " a  b ", *c[3:], n, m) for c in itertools.product(*cells) for n, m in [(20, 30), (None, None), (31, 30), (-1, 200_000)]][::7]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(made)], kind)
+    one = {r["k"]: r["s"] for r in rows.select("k", catalog.section_summary(F.struct(*[c for c in rows.columns if c != "k"])).alias("s")).collect()}
+    assert {r["k"]: r["summary"] for r in catalog.validated(rows).collect()} == one and len(one) == len(made)
+    nested = catalog.summaries(rows.withColumn("u", F.col("k") % 3), "u", ["k"]).collect()
+    assert {r["u"]: len(r["checked"]) for r in nested} == {u: len(range(u, len(made), 3)) for u in range(3)} and nested[0]["checked"][0] == one[nested[0]["u"]]
+    assert catalog.validated(rows.limit(0)).count() == 0
