@@ -537,18 +537,59 @@ def test_lines_against_all_pairs(spark):
     assert links > 100 and len(want - got) <= 0.1 * len(want) and not got - want
 
 
-def test_long_lines_are_compared_in_words(spark):
+def test_lines_of_all_lengths_are_compared_in_characters(spark):
+    """The same share of changed letters links a line of ten words and one of hundreds, whether words stay in number or not."""
     rng = random.Random(12)
-    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-    forms = {0: words}
-    for i, n in enumerate((10, 40, 41, 80), 1):
-        other = list(words)
-        for at in rng.sample(range(200), n):
-            other[at] = "changed"
-        forms[i] = other
-    named = spark.createDataFrame([(i, " ".join(f)) for i, f in forms.items()], "node long, form string")
-    pairs = spark.createDataFrame([(i, 0) for i in range(1, 5)], "u long, v long")
-    assert sorted(r["u"] for r in lines.similar(pairs, named, 0.8).collect()) == [1, 2]
+    forms, pairs, want = {}, [], []
+    for n in (10, 60, 70, 200, 900):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+        for share, shift in ((0.3, 0), (0.3, 1), (0.6, 0), (0.02, 3), (0.9, 0), (0.9, 2)):
+            other = [w[:1] + "X" + w[2:] if rng.random() < share else w for w in words]
+            if share == 0.9:
+                other = ["XX" + w[2:] for w in other]
+            other[5:5] = ["put"] * shift
+            k = len(forms)
+            forms[k], forms[k + 1] = " ".join(words), " ".join(other)
+            pairs.append((k, k + 1))
+    named = spark.createDataFrame(list(forms.items()), "node long, form string")
+    df = spark.createDataFrame(pairs, "u long, v long")
+    both = df.join(named.select(F.col("node").alias("u"), F.col("form").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("form").alias("b")), "v")
+    want = {tuple(r) for r in both.where("levenshtein(a, b) <= floor(greatest(length(a), length(b)) * 0.2 + 1e-9)").select("u", "v").collect()}
+    assert {tuple(r) for r in lines.similar(df, named, 0.8).collect()} == want and 10 < len(want) < 25
+
+
+def test_line_blocks_meet_in_each_length_class(spark):
+    """Of similar pairs, made of random edits of letters and words, nine in ten or more share a block and pass the fingerprint, in every class of lengths."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 11)))
+    pairs, classes = [], {2: (2, 3), 4: (4, 7), 8: (8, 15), 16: (16, 40), 65: (65, 120)}
+    for low, (a, b) in classes.items():
+        while sum(1 for c, *_ in pairs if c == low) < 150:
+            words = [word() for _ in range(rng.randrange(a, b + 1))]
+            text = list(" ".join(words))
+            for _ in range(rng.randrange(1, max(2, len(text) // (16 if low < 8 else 24)))):
+                at, kind = rng.randrange(len(text)), rng.randrange(3)
+                if text[at] != " ":
+                    text[at : at + (kind > 0)] = [] if kind == 2 else [rng.choice("abcdefghijklmnopqrst")]
+            if rng.random() < 0.2 and len(words) > 7:
+                other = "".join(text).split()
+                other[rng.randrange(len(other))] = word()
+                text = list(" ".join(other))
+            if "".join(text) != " ".join(words):
+                pairs.append((low, " ".join(words), "".join(text)))
+    rows = [(2 * i + k, [f"{x}"], x) for i, (_, *both) in enumerate(pairs) for k, x in enumerate(both)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    found = lines.occurrences(docs)
+    node = {r["form"]: r["node"] for r in found.collect()}
+    df = spark.createDataFrame([(k, node[x], node[y]) for k, x, y in pairs if node[x] != node[y]], "c int, u long, v long")
+    alike = lines.similar(df.select("u", "v"), found.select("node", "form"), 0.8)
+    keys = lines.dealt_blocks(found).select("node", "key").distinct()
+    met = df.join(keys.withColumnRenamed("node", "u"), "u").join(keys.withColumnRenamed("node", "v"), ["v", "key"]).select("c", "u", "v").distinct()
+    prints = {r["node"]: r["fp"] for r in lines.fingerprints(found.select("node", "form").distinct()).collect()}
+    wanted = {tuple(r) for r in df.join(alike, ["u", "v"]).select("c", "u", "v").collect()}
+    got = {(c, u, v) for c, u, v in map(tuple, met.collect()) if ((prints[u] ^ prints[v]) % (1 << 64)).bit_count() <= {2: 64, 4: lines.REACH, 8: lines.REACH}.get(c, lines.DISTANCE)}
+    share = {low: sum(1 for x in wanted if x[0] == low and x in got) / max(1, sum(1 for x in wanted if x[0] == low)) for low in classes}
+    assert all(v >= 0.9 for v in share.values()), share
 
 
 def test_lines_that_many_share_and_very_long_ones(spark):
