@@ -2,7 +2,10 @@
 
 A bounded sample of vectors gives a neighbour graph; the graph is cut into
 balanced parts that keep neighbours together, and a small softmax network learns
-to tell the parts of a vector's neighbours from the vector. It then names the
+to tell the parts of a vector's neighbours from the vector. Tables of more than
+``DEEP`` vectors have a second level: every part is cut again in
+the same way, from a sample of its own, so parts stay about as large up to
+``PARTS * SUB_PARTS * PART_ROWS`` vectors (some four million; beyond that they grow). It then names the
 part of every indexed vector, and the parts that a query probes: as many of the
 likeliest as the sample needs to find ``aim`` of its true neighbours. Candidates
 of the probed parts are ranked by exact cosine in double precision.
@@ -21,6 +24,7 @@ one part, which is searched exactly; other columns are ignored; an empty table g
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,6 +40,10 @@ from lectern.llm.common import durable, share_of
 SAMPLE = 8192
 #: Indexed vectors for each part, and the most parts.
 PART_ROWS, PARTS = 1024, 128
+#: Vectors from which an index has two levels: eight times as many as fill the parts of one, so that what the second one saves is worth its training.
+DEEP = 8 * PARTS * PART_ROWS
+#: Vectors of a part that its second level is learned from, and the most parts there.
+SUB_SAMPLE, SUB_PARTS = 2048, 32
 #: Sampled vectors that a part is learned from at least; a sample of fewer than two parts' makes one part, which is searched whole.
 LEAST_PART = 32
 NEIGHBOURS = 10
@@ -121,6 +129,13 @@ class Router:
                     v += 0.001 * (q * q - v)
                     w -= 0.003 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray, c: np.ndarray, e: np.ndarray) -> Router:
+        """A router of known weights."""
+        made = cls.__new__(cls)
+        made.a, made.b, made.c, made.e = a, b, c, e
+        return made
+
     @staticmethod
     def soft(z: np.ndarray) -> np.ndarray:
         p = np.exp(z - z.max(1, keepdims=True))
@@ -141,9 +156,44 @@ class Index:
         return self.router.ranked(unit(x)) if self.router else np.zeros((len(x), 1), dtype=np.int64)
 
 
-def learn(x: np.ndarray, rows: int, k: int, aim: float) -> Index:
+class Tree:
+    """An index of parts and, for some of them, one of its parts in turn; a place is ``part * SUB_PARTS + sub``."""
+
+    def __init__(self, top: Index, below: dict[int, Index]):
+        self.top, self.below = top, below
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest place of each row."""
+        part = self.top.ranked(x)[:, 0]
+        out = part * SUB_PARTS
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                at = part == p
+                out[at] += self.below[p].ranked(x[at])[:, 0]
+        return out
+
+    def probed(self, x: np.ndarray, held: dict[int, int], enough: int) -> list[np.ndarray]:
+        """Places that each row asks: of the parts that it probes those that each probes in turn, and on until there are ``enough`` vectors."""
+        ranked = self.top.ranked(x)
+        subs = {p: index.ranked(x) for p, index in self.below.items()}
+        out = []
+        for i, parts in enumerate(ranked.tolist()):
+            places, have = [], 0
+            for n, p in enumerate(parts):
+                if n >= self.top.probes and have >= enough:
+                    break
+                for m, sub in enumerate(subs[p][i].tolist() if p in subs else (0,)):
+                    if p in subs and m >= self.below[p].probes and have >= enough:
+                        break
+                    places.append(p * SUB_PARTS + sub)
+                    have += held.get(places[-1], 0)
+            out.append(np.array(places, dtype="int32"))
+        return out
+
+
+def learn(x: np.ndarray, rows: int, k: int, aim: float, most: int = PARTS) -> Index:
     """An index for ``rows`` vectors from a sample of them."""
-    parts = min(PARTS, max(2, rows // PART_ROWS), len(x) // LEAST_PART)
+    parts = min(most, max(2, rows // PART_ROWS), len(x) // LEAST_PART)
     if parts < 2:
         return Index(None, 1)
     x = unit(x)
@@ -171,8 +221,8 @@ def usable(vector: str = "embedding") -> F.Column:
     return v.isNotNull() & finite & F.exists(v, lambda c: c != 0)
 
 
-def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, aim: float = 0.94, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest found of every query row."""
+def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, aim: float = 0.94, sample: int = SAMPLE, levels_from: int = DEEP) -> DataFrame:
+    """query_id, rank, vec_id and score of the ``k`` nearest found of every query row; from ``levels_from`` vectors on the index has two levels."""
     spark = embeddings.sparkSession
     rows = embeddings.where(F.col("vec_id").isNotNull() & usable()).select(
         F.col("vec_id").cast("long"), F.transform("embedding", lambda c: c.cast("double") + F.lit(0.0)).alias("v"), is_query.alias("asks"))
@@ -180,21 +230,45 @@ def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, aim: float = 0
     alike = W.partitionBy("h", "v").orderBy("vec_id")
     distinct = rows.select("vec_id", "v", "h").distinct()
     base = durable(distinct.withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).select("vec_id", "v", "h"))
-    found = [same_length(base.where(F.size("v") == n), rows.where(F.size("v") == n), count, n, k, aim, sample) for n, count in sorted(base.groupBy(F.size("v")).count().collect())]
+    found = [same_length(base.where(F.size("v") == n), rows.where(F.size("v") == n), count, n, k, aim, sample, levels_from) for n, count in sorted(base.groupBy(F.size("v")).count().collect())]
     return reduce(DataFrame.union, found, spark.createDataFrame([], SCHEMA)) if len(found) != 1 else found[0]
 
 
-def same_length(base: DataFrame, rows: DataFrame, count: int, width: int, k: int, aim: float, sample: int) -> DataFrame:
+def same_length(base: DataFrame, rows: DataFrame, count: int, width: int, k: int, aim: float, sample: int, levels_from: int) -> DataFrame:
     """``search`` for the ``count`` indexed vectors ``base`` and the rows of one length."""
     spark = base.sparkSession
     share = min(1.0, sample / max(count, 1))
     picked = base.where(share_of(share, "h")).select("v").distinct().toPandas()["v"].to_list()
-    shared = spark.sparkContext.broadcast(learn(np.array(sorted(map(tuple, picked))).reshape(-1, width), count, k, aim))
+    # Two levels must find together what one has to.
+    deep = count > levels_from
+    top = learn(np.array(sorted(map(tuple, picked))).reshape(-1, width), count, k, aim**0.5 if deep else aim)
+    below: dict[int, Index] = {}
+    if deep and top.router:
+        first = spark.sparkContext.broadcast(top)
+
+        @F.pandas_udf("int")
+        def top_part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series(first.value.ranked(np.stack(batch))[:, 0] if len(batch) else [], index=batch.index, dtype="int32")
+
+        parted = durable(base.withColumn("part", top_part("v")))
+        sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per part
+        some = parted.join(F.broadcast(sizes), "part").where(share_of(F.lit(float(SUB_SAMPLE)) / F.col("n"), "h", F.lit(2)))
+
+        def train(group: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack([v for _, v in sorted(zip(group["h"], group["v"], strict=True), key=lambda r: (r[0], tuple(r[1])))])
+            found = learn(x, int(group["n"].iloc[0]), k, aim**0.5, SUB_PARTS)
+            weights = [pickle.dumps((r.a, r.b, r.c, r.e))] if (r := found.router) else [None]
+            return pd.DataFrame({"part": [int(group["part"].iloc[0])], "probes": [found.probes], "weights": weights})
+
+        models = some.select("part", "n", "h", "v").groupBy("part").applyInPandas(train, "part int, probes int, weights binary").where("weights is not null").collect()
+        below = {r["part"]: Index(Router.of(*pickle.loads(r["weights"])), r["probes"]) for r in models}
+    shared = spark.sparkContext.broadcast(Tree(top, below))
 
     @F.pandas_udf("int")
     def part_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(shared.value.ranked(np.stack(batch))[:, 0] if len(batch) else [], index=batch.index, dtype="int32")
+            yield pd.Series(shared.value.placed(np.stack(batch)) if len(batch) else [], index=batch.index, dtype="int32")
 
     base = durable(base.withColumn("part", part_of("v")))
     held = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}  # a row per part
@@ -202,12 +276,8 @@ def same_length(base: DataFrame, rows: DataFrame, count: int, width: int, k: int
     @F.pandas_udf("array<int>")
     def probed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for parts in shared.value.ranked(np.stack(batch)) if len(batch) else ():
-                have = np.cumsum([held.get(int(p), 0) for p in parts])
-                # At least the set number of parts, and enough for k neighbours.
-                out.append(parts[: max(shared.value.probes, int(np.searchsorted(have, k + 1)) + 1)].astype("int32"))
-            yield pd.Series(out, index=batch.index, dtype=object)
+            # At least the set number of parts, and enough for k neighbours.
+            yield pd.Series(shared.value.probed(np.stack(batch), held, k + 1) if len(batch) else [], index=batch.index, dtype=object)
 
     queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("vec_id").alias("hq"))
     queries = durable(queries.withColumn("part", F.explode(probed("q"))))
@@ -215,8 +285,8 @@ def same_length(base: DataFrame, rows: DataFrame, count: int, width: int, k: int
     blocks = {p: (-(-n // BLOCK), max(1, -(-asked.get(p, 0) // QUERY_BLOCK))) for p, n in held.items()}
     if not blocks:
         return spark.createDataFrame([], SCHEMA)
-    cuts = F.create_map(*(F.lit(x) for p, (a, b) in sorted(blocks.items()) for x in (p, a * 100_000 + b)))
-    of_base, of_queries = F.floor(cuts[F.col("part")] / 100_000).cast("int"), (cuts[F.col("part")] % 100_000).cast("int")
+    cuts = F.create_map(*(x for p, (a, b) in sorted(blocks.items()) for x in (F.lit(p), F.struct(F.lit(a).alias("base"), F.lit(b).alias("queries")))))
+    of_base, of_queries = cuts[F.col("part")]["base"], cuts[F.col("part")]["queries"]
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = queries.where(cuts[F.col("part")].isNotNull()).withColumn("b", F.pmod("hq", of_queries).cast("int")).withColumn("a", every(of_base))
     right = base.withColumn("a", F.pmod(F.xxhash64("h", "vec_id"), of_base).cast("int")).withColumn("b", every(of_queries))

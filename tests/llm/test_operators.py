@@ -626,6 +626,32 @@ def test_ann_recall_and_order(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_ann_two_levels(spark):
+    """With every part cut again neighbours are still found, and fewer rows are compared; repeats and very small parts included."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 16))
+    x = centres[rng.integers(0, 300, 12_000)] + 0.3 * rng.normal(size=(12_000, 16))
+    x[:40] = x[50]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 100 == 0, levels_from=5000).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in got:
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(set(got[q]) & set(np.lexsort((np.arange(len(s)), -s.round(12)))[:5].tolist()))
+    assert len(got) == 120 and hits >= 0.9 * 600
+    top = ann.learn(x[::2], 12_000, 5, 0.97)
+    part = top.ranked(x)[:, 0]
+    below = {p: ann.learn(x[part == p], int((part == p).sum()), 5, 0.97, ann.SUB_PARTS) for p in np.unique(part).tolist()}
+    tree = ann.Tree(top, {p: i for p, i in below.items() if i.router})
+    held = dict(enumerate(np.bincount(tree.placed(x)).tolist()))
+    one, two = (np.mean([sum(h.get(p, 0) for p in places) for places in t.probed(x[::100], h, 6)]) for t, h in ((ann.Tree(top, {}), dict(enumerate(np.bincount(part * ann.SUB_PARTS).tolist()))), (tree, held)))
+    assert sum(held.values()) == len(x) and two < one < len(x) / 2
+
+
 def test_ann_learned_parts_on_small_tables(spark):
     """A table of a few hundred vectors is cut into learned parts like any other."""
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
