@@ -75,6 +75,20 @@ def sentence_around(text: Column, pattern: str, limit: int = 500) -> Column:
     return F.substring(squash(F.regexp_extract(text, rf"(?i)([^.。]*(?:{pattern})[^.。]*[.。]?)", 1)), 1, limit)
 
 
+# Headings that a description follows, in the order of trust.
+DESCRIPTION_HEADS = ("course\\s+description|description", "module|topics?|outline|syllabus")
+
+
+def description_in(c: Column) -> Column:
+    """A description taken from a text: the paragraph after a heading, else the whole text if it is long enough, 1,200 characters at most; else empty."""
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+    after = lambda heads: squash(F.regexp_extract(text, rf"(?is)(?:{heads})\s*[:：]?\s*(.{{80,2000}}?)(?:\n\s*\n|$)", 1))
+    first, second = (after(heads) for heads in DESCRIPTION_HEADS)
+    whole = squash(text)
+    found = F.when(F.length(first) >= 20, first).when(F.length(second) >= 20, second).when(F.length(whole) >= 120, whole).otherwise("")
+    return F.substring(found, 1, 1200)
+
+
 def without_thoughts(c: Column) -> Column:
     """Text without <think> blocks, closed or not."""
     return F.regexp_replace(c, r"(?is)<think>.*?(</think>|$)", "")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lectern.functions import codes, credits, schedule, text
-from lectern.operators import answers, conversation, crawl, dictionary, evidence, importing, overlays, records, repair, retrieval, robots
+from lectern.operators import answers, context, conversation, crawl, dictionary, evidence, importing, overlays, records, repair, retrieval, robots
 from lectern.plans import projection, routing
 from lectern.sources import course_pages
 from lectern.queries import QUALITY, VISIBLE, index, query, read
@@ -361,3 +361,43 @@ def _(spark, d):
     claims = said.select("doc_id", F.explode(made).alias("c")).select("doc_id", "c.*")
     title = texts.select("doc_id", F.lit(None).cast("long").alias("section"), F.lit("title").alias("field"), F.upper(F.concat(F.lit("Outline of "), letters(F.col("doc_id")))).alias("value"))
     return evidence.bundle(texts, claims.union(title)).drop("quote")
+
+
+# Texts for an answer
+
+@query("course_context", """, s AS (SELECT course_uid, l_orderkey, l_linenumber, l_suppkey, '  ' || term || ', Section ' || section_id || ': ' || CASE WHEN times = '' THEN 'TBA' ELSE times END || ', ' || instructor || ', TBA, ' || current_n || '/' || capacity_n AS line,
+ row_number() OVER (PARTITION BY course_uid ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM section),
+l AS (SELECT course_uid, string_agg(line, chr(10) ORDER BY n) FILTER (n <= 4) AS shown, count(*) AS held FROM s GROUP BY 1)
+SELECT c.course_uid, md5('[' || course_code || ']' || CASE WHEN p_partkey % 2 = 0 THEN ' [S' || p_partkey % 9 || ']' ELSE '' END || ' ' || title || ' | 3 points' || chr(10) || '  Prereqs: none'
+ || CASE WHEN trim(coalesce(description, '')) = '' THEN '' ELSE chr(10) || '  Desc: ' || substr(trim(description), 1, 500) || CASE WHEN length(trim(description)) > 500 THEN '...' ELSE '' END END
+ || chr(10) || coalesce(shown || CASE WHEN held > 4 THEN chr(10) || '  (+' || (held - 4) || ' more matching sections)' ELSE '' END, '  No matching sections')) AS text FROM course c LEFT JOIN l ON l.course_uid = c.course_uid""", True)
+def _(spark, d):
+    c = projection.details(spark, d)
+    listed = F.transform("sections", lambda s: F.struct(s["term"].alias("term"), s["section_call_number"].alias("section_id"), s["times"].alias("times"), s["instructor"].alias("instructor"), s["location"].alias("location"), s["enrollment_current"].alias("enrollment_current"), s["enrollment_capacity"].alias("enrollment_capacity")))
+    label = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("S"), (F.col("p_partkey") % 9).cast("string")))
+    made = context.course_context(F.col("course_code"), F.col("title"), F.lit("3 points"), F.lit("none"), F.col("description"), listed, label)
+    return c.select("course_uid", F.md5(made).alias("text"))
+
+
+@query("prompt_context", """SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY 1""")
+def _(spark, d):
+    return context.prompt_context(read(spark, d, "conversations"), "conv_id", "turn", "text", 3)
+
+
+@query("notices", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || '_' || CASE p_partkey % 3 WHEN 0 THEN 'Showing ' || p_size || ' results; more match.' WHEN 1 THEN p_size || ' résultats affichés ; il y en a d''autres.' ELSE 'Showing ' || p_size || ' results; more match.' END || '_' ELSE '' END
+ || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || chr(10) || '_' || CASE p_partkey % 3 WHEN 1 THEN 'Les mathématiques sont ici les mathématiques appliquées.' ELSE 'Mathematics is taken as applied mathematics here.' END || '_' ELSE '' END AS notices FROM part""")
+def _(spark, d):
+    key = F.col("p_partkey")
+    lang = F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("pt")), (key % 3 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", context.notices(key % 2 == 0, F.when(key % 5 == 0, "mathematics"), lang, F.col("p_size")).alias("notices"))
+
+
+@query("description_in", r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Intro' || chr(10) || 'Course  Description: ' || text WHEN 1 THEN 'Syllabus' || chr(13) || chr(10) || text WHEN 2 THEN left(text, 60) ELSE text END AS raw FROM documents),
+n AS (SELECT doc_id, regexp_replace(raw, '\r\n?', chr(10), 'g') AS t FROM t),
+m AS (SELECT doc_id, t, trim(regexp_replace(regexp_extract(t, '(?is)(?:course\s+description|description)\s*[:：]?\s*(.{80,1000}?.{0,1000}?)(?:\n\s*\n|\z)', 1), '[\s\x{a0}]+', ' ', 'g')) AS a,
+ trim(regexp_replace(regexp_extract(t, '(?is)(?:module|topics?|outline|syllabus)\s*[:：]?\s*(.{80,1000}?.{0,1000}?)(?:\n\s*\n|\z)', 1), '[\s\x{a0}]+', ' ', 'g')) AS b, trim(regexp_replace(t, '[\s\x{a0}]+', ' ', 'g')) AS w FROM n)
+SELECT doc_id, md5(substr(CASE WHEN length(a) >= 20 THEN a WHEN length(b) >= 20 THEN b WHEN length(w) >= 120 THEN w ELSE '' END, 1, 1200)) AS description FROM m""")
+def _(spark, d):
+    key = F.col("doc_id") % 4
+    raw = F.when(key == 0, F.concat(F.lit("Intro\nCourse  Description: "), "text")).when(key == 1, F.concat(F.lit("Syllabus\r\n"), "text")).when(key == 2, F.left("text", F.lit(60))).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.description_in(raw)).alias("description"))
