@@ -202,13 +202,17 @@ def _(spark, d):
     return retrieval.quality_sort(index(spark, d), 20).select("course_uid", "quality")
 
 
-@query("keyword_topk", f""", {QUALITY}, scored AS (SELECT *, CASE WHEN contains(lower(course_code), 'smal') THEN 5 ELSE 0 END + CASE WHEN contains(lower(title), 'smal') THEN 3 ELSE 0 END + 1 * (contains(lower(course_code), 'smal') OR contains(lower(title), 'smal'))::int
- + CASE WHEN contains(lower(course_code), 'seminar') THEN 5 ELSE 0 END + CASE WHEN contains(lower(title), 'seminar') THEN 3 ELSE 0 END + 1 * contains(lower(title), 'seminar')::int AS score FROM quality WHERE {VISIBLE})
+def scored(word: str) -> str:
+    """SQL: what a word adds to a course's score; besides code and title the text holds the department's name and the beginning of the description."""
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in projection.NAMES.items())
+    told = f"lower(course_code || ' ' || title || ' ' || CASE department_prefix {names} ELSE '' END || ' ' || substr(trim(coalesce(description, '')), 1, 200))"
+    return f"CASE WHEN contains(lower(course_code), '{word}') THEN 5 ELSE 0 END + CASE WHEN contains(lower(title), '{word}') THEN 3 ELSE 0 END + contains({told}, '{word}')::int"
+
+
+@query("keyword_topk", f""", {QUALITY}, scored AS (SELECT *, {scored('smal')} + {scored('seminar')} + {scored('tion')} AS score FROM quality WHERE {VISIBLE})
 SELECT course_uid, score, quality FROM scored WHERE score >= 3 ORDER BY score DESC, quality DESC, level, course_code, title, course_uid LIMIT 15""", True)
 def _(spark, d):
-    # The text searched is code and title, as the SQL has no way to rebuild the whole blob.
-    rows = index(spark, d).withColumn("searchable_text", F.lower(F.concat_ws(" ", "course_code", "title")))
-    return retrieval.keyword_topk(rows, ["smal", "seminar"], 15, 3).select("course_uid", F.col("score").cast("int").alias("score"), "quality")
+    return retrieval.keyword_topk(index(spark, d), ["smal", "seminar", "tion"], 15, 3).select("course_uid", F.col("score").cast("int").alias("score"), "quality")
 
 
 @query("keyword_topk_docs", """

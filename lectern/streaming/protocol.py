@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from lectern.streaming.chat import payloads
 
 # Allowed successors in a stream; "" is its beginning.
 NEXT = {
@@ -23,27 +29,42 @@ def sample_stream(conversations: DataFrame) -> DataFrame:
 
 
 def decode(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame:
-    """Events (key, pos, type, payload) of each stream, whatever the cuts between its pieces; a stream is one reply."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, data))), lambda s: s[data]), "")
-    blocks = chunks.groupBy(key).agg(F.split(whole, r"\r?\n\r?\n").alias("blocks")).select(key, F.posexplode("blocks").alias("pos", "block"))
-    lines = F.filter(F.split("block", r"\r?\n"), lambda x: x.startswith("data:"))
-    payload = F.trim(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^data: ?", "")), "\n"))
-    rows = blocks.where(F.size(lines) > 0).withColumn("payload", payload)
-    return rows.select(key, "pos", F.coalesce(F.get_json_object("payload", "$.type"), F.lit("malformed")).alias("type"), "payload")
+    """Events (key, pos, type, payload) of each stream, whatever the cuts between its pieces; a stream is one reply.
 
+    A task goes through the pieces of one stream after another and holds what
+    no event has ended yet, so a stream of any length passes by.
+    """
+    rows = chunks.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(data).cast("binary").alias("_data"))
 
-def problem(types: Column) -> Column:
-    """The first problem of an array of event types, empty for a complete stream."""
-    allowed = F.create_map(*(F.lit(x) for k, v in NEXT.items() for x in (k, ",".join(v))))
-    step = lambda s, t: F.when(s.startswith("!"), s).when(F.find_in_set(t, F.coalesce(F.try_element_at(allowed, s), F.lit(""))) > 0, t).otherwise(F.concat(F.lit("!"), t, F.lit(" after "), F.when(s == "", "start").otherwise(s)))
-    last = F.aggregate(types, F.lit(""), step)
-    return F.when(last.startswith("!"), F.substring(last, 2, 100)).when(last.isin("done", "error"), "").otherwise("no end")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rest, pos = None, b"", 0
+        for batch in batches:
+            out = []
+            for k, piece in zip(batch["_key"], batch["_data"], strict=True):
+                if k != now:
+                    out += [(now, pos + i, p) for i, p in enumerate(payloads(rest, final=True)[0])]
+                    now, rest, pos = k, b"", 0
+                found, rest = payloads(rest + (piece or b""))
+                out += [(now, pos + i, p) for i, p in enumerate(found)]
+                pos += len(found)
+            yield pd.DataFrame(out, columns=["_key", "pos", "payload"])
+        yield pd.DataFrame([(now, pos + i, p) for i, p in enumerate(payloads(rest, final=True)[0])], columns=["_key", "pos", "payload"])
+
+    kind = rows.select("_key").schema.add("pos", "integer").add("payload", "string")
+    events = rows.where("_key is not null").repartition("_key").sortWithinPartitions("_key", "_order").mapInPandas(run, kind)
+    return events.select(F.col("_key").alias(key), "pos", F.coalesce(F.get_json_object("payload", "$.type"), F.lit("malformed")).alias("type"), "payload")
 
 
 def checked(events: DataFrame, key: str, order: str, kind: str) -> DataFrame:
-    """Whether each stream keeps the order of events, and its first problem."""
-    types = F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda s: s[kind])
-    return events.groupBy(key).agg(problem(types).alias("problem")).select(key, (F.col("problem") == "").alias("ok"), "problem")
+    """Whether each stream keeps the order of events, and its first problem; events are compared with the one before, not gathered."""
+    before = F.coalesce(F.lag(kind).over(W.partitionBy(key).orderBy(order)), F.lit(""))
+    allowed = F.create_map(*(F.lit(x) for k, v in NEXT.items() for x in (k, ",".join(v))))
+    fits = F.find_in_set(F.col(kind), F.coalesce(F.try_element_at(allowed, before), F.lit(""))) > 0
+    said = F.concat(F.col(kind), F.lit(" after "), F.when(before == "", "start").otherwise(before))
+    rows = events.select(key, order, kind, F.when(~fits, said).alias("_wrong"))
+    found = rows.groupBy(key).agg(F.min_by("_wrong", F.when(F.col("_wrong").isNotNull(), F.col(order))).alias("wrong"), F.max_by(kind, order).alias("last"))
+    problem = F.when(F.col("wrong").isNotNull(), F.col("wrong")).when(F.col("last").isin("done", "error"), "").otherwise("no end")
+    return found.select(key, problem.alias("problem")).select(key, (F.col("problem") == "").alias("ok"), "problem")
 
 
 def idle_gaps(events: DataFrame, key: str, at: str, seconds: int = 70) -> DataFrame:
