@@ -709,6 +709,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(empty(spark), none).count() == 0
 
 
+def test_classifiers_on_long_and_repeated_texts(spark):
+    """Whole texts count: what stands at the end of a very long one changes its answer; equal texts get equal answers, whatever their ids and columns."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    some = docs.where("lang is not null").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).collect()
+    by_lang = {r["lang"]: r["text"] for r in some}
+    (a, one), (b, two) = sorted(by_lang.items())[:2]
+    long = one + " " + " ".join([two] * (200_000 // max(1, len(two)) + 3))
+    more = [(10**6 + i, t, None, None, len(t)) for i, t in enumerate([long, long, two, two, one])] + [(10**6, long, a, "x", 1)]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars"))
+    found = {}
+    for r in langid.identified(rows).where("doc_id >= 1000000").collect():
+        found.setdefault(r["doc_id"] - 10**6, set()).add((r["lang_pred"], r["score"]))
+    assert all(len(v) == 1 for v in found.values()) and found[0] == found[1] and found[2] == found[3]
+    assert {p for p, _ in found[0]} == {b} and {p for p, _ in found[4]} == {a}
+    scores = {}
+    for r in toxicity.scored(rows, labels).where("doc_id >= 1000000").collect():
+        scores.setdefault(r["doc_id"] - 10**6, set()).add(r["score"])
+    assert all(len(v) == 1 and 0 <= min(v) <= 1 for v in scores.values()) and scores[0] == scores[1] and scores[2] == scores[3]
+
+
 def test_boosting_and_isotonic():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 5))
