@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import named
+
 #: Marks before prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
 SEED = "1"
@@ -167,11 +169,17 @@ def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS)
     return F.when(form == "plain", output).when(form == "psm", psm).otherwise(F.concat(prefix, middle, suffix))
 
 
+def unambiguous(marks: tuple[str, ...]) -> bool:
+    """Whether marks can be found again: no mark is empty, in another, or begins as another or itself ends."""
+    ends_as = lambda a, b: any(b[-k:] == a[:k] for k in range(1, min(len(a), len(b))))
+    return len(set(marks)) == len(marks) and all(marks) and not any((a != b and a in b) or ends_as(a, b) for a in marks for b in marks)
+
+
 def transformed(docs: DataFrame, unit: str | None = None, marks: tuple[str, str, str] = MARKS, plain_from: int = PLAIN_FROM, spm_below: int = SPM_BELOW, seed: str = SEED) -> DataFrame:
     """``docs`` with n, form, prefix_units, middle_units and output; ``unit`` is a regular expression, None for code points."""
-    if len(set(marks)) < 3 or not all(marks) or any(a != b and a in b for a in marks for b in marks) or any(a[:k] == b[-k:] for a in marks for b in marks for k in range(1, min(len(a), len(b))) if k < len(a)):
+    if not unambiguous(marks):
         raise ValueError("marks must be three, none inside another and none beginning as one ends")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n", "form", "prefix_units", "middle_units", "output", "_fim")]
+    own = [named(c) for c in docs.columns if c not in ("n", "form", "prefix_units", "middle_units", "output", "_fim")]
     text = F.coalesce("text", F.lit(""))
     h1, h2, h3, h4 = hashes(F.col("doc_id"), seed)
     marked = F.lit(False)
