@@ -98,8 +98,8 @@ def save_registry(registry: DataFrame, path: str) -> None:
 
 
 def snapshot_order(rows: DataFrame) -> DataFrame:
-    """Courses of a crawl by code and title."""
-    return rows.orderBy("course_code", "title")
+    """Courses of a crawl by code and title; courses that agree in both by uid, so that reruns agree."""
+    return rows.orderBy("course_code", "title", "course_uid")
 
 
 def pass_counts(results: DataFrame, prefix: Column, passed: Column, seconds: Column) -> DataFrame:

@@ -286,7 +286,7 @@ def _(spark, d):
 
 @query("snapshot_order", "SELECT course_uid, row_number() OVER (ORDER BY course_code, title, course_uid)::int AS place FROM course QUALIFY place <= 30", True)
 def _(spark, d):
-    rows = crawl.snapshot_order(projection.courses(spark, d).select("course_uid", "course_code", "title").orderBy("course_uid")).limit(30)
+    rows = crawl.snapshot_order(projection.courses(spark, d).select("course_uid", "course_code", "title")).limit(30)
     return rows.select("course_uid", F.row_number().over(W.orderBy("course_code", "title", "course_uid")).alias("place"))
 
 

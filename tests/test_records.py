@@ -75,3 +75,12 @@ def test_rebuilt_index_needs_every_row(spark):
     with pytest.raises(Exception, match="no repaired row of b"):
         rebuilt(rows, fixed, ["n"]).collect()
     assert {tuple(r) for r in rebuilt(rows, fixed.union(fixed.withColumn("course_uid", __import__("pyspark").sql.functions.lit("b"))), ["n"]).collect()} == {("a", 5, "x"), ("b", 5, "y")}
+
+
+def test_snapshot_order_of_equal_codes_and_titles(spark):
+    from lectern.operators.crawl import snapshot_order
+
+    rows = [(f"{i * 7919 % 1000:03d}", "A 1", "T") for i in range(1000)]
+    # An order given before isn't kept by a sort of all rows.
+    got = snapshot_order(spark.createDataFrame(rows, "course_uid string, course_code string, title string").repartition(7)).limit(30)
+    assert [r["course_uid"] for r in got.collect()] == [f"{i:03d}" for i in range(30)]
