@@ -206,3 +206,17 @@ def test_validated_as_one_by_one(spark):
     nested = catalog.summaries(rows.withColumn("u", F.col("k") % 3), "u", ["k"]).collect()
     assert {r["u"]: len(r["checked"]) for r in nested} == {u: len(range(u, len(made), 3)) for u in range(3)} and nested[0]["checked"][0] == one[nested[0]["u"]]
     assert catalog.validated(rows.limit(0)).count() == 0
+
+
+def test_sections_are_shuffled_once(spark, monkeypatch):
+    """Validation shuffles no rows, however many cells differ; the index shuffles lines, before texts are made of them."""
+    from lectern import queries
+
+    rows = projection.sections(spark, "/root/testdata/sf0.001")
+    want = {r["identity"]: r["summary"] for r in catalog.validated(rows.withColumn("identity", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_suppkey"))).collect()}
+    monkeypatch.setattr(catalog, "BROADCAST_CELLS", 5)
+    checked = catalog.validated(rows.localCheckpoint().withColumn("identity", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_suppkey")))
+    assert {r["identity"]: r["summary"] for r in checked.collect()} == want
+    assert "Exchange hashpartitioning" not in checked._jdf.queryExecution().executedPlan().toString()
+    plan = queries.enriched(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and "Exchange hashpartitioning(course_uid" not in plan
