@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.text import let
+
 # Words of a department's field, by its code.
 DEPARTMENT_WORDS = {
     "AERO": "aerospace aeronautical flight space", "AEME": "aerospace mechanical turbomachinery propulsion aerodynamics",
@@ -134,22 +136,27 @@ def with_english(question: Column, tables: tuple[Mapping[str, str], ...] = (CHIN
     for table in tables:
         merged.update(table)
     pairs = F.array(*(F.struct(F.lit(word.lower()).alias("word"), F.lit(english).alias("english")) for word, english in merged.items()))
-    found = F.transform(F.filter(pairs, lambda p: F.lower(question).contains(p["word"])), lambda p: p["english"])
-    return F.when(question.isNotNull(), F.concat_ws(" ", question, F.array_join(F.when(F.size(found) > 0, found), " ")))
+    # Lower case once, not for every word of the tables.
+    found = let(F.lower(question), lambda low: F.transform(F.filter(pairs, lambda p: low.contains(p["word"])), lambda p: p["english"]))
+    return let(found, lambda f: F.when(question.isNotNull(), F.concat_ws(" ", question, F.array_join(F.when(F.size(f) > 0, f), " "))))
 
 
 def department_named(question: Column, phrases: Mapping[str, str] = DEPARTMENT_PHRASES, words: Mapping[str, str] | None = None) -> Column:
     """Department that a question names: by its longest known phrase, else by its longest known word; null if none."""
-    low = F.lower(question)
     words = department_words() if words is None else words
     longest = lambda table: F.array(*(F.struct(F.lit(w).alias("word"), F.lit(table[w]).alias("code")) for w in sorted(table, key=lambda w: -len(w))))
-    phrase = F.get(F.filter(longest(phrases), lambda p: low.contains(p["word"])), F.lit(0))
     # Short names and codes count beside Chinese signs, other words only by themselves.
     ascii_words = {*ASCII_WORDS.split(), *(code.lower() for code in DEPARTMENT_WORDS)}
-    runs, whole = (F.regexp_extract_all(low, F.lit(kind), F.lit(1)) for kind in (r"([a-z0-9_]+)", r"([\p{L}\p{N}_]+)"))
-    held = F.array_union(F.filter(runs, lambda w: w.isin(*sorted(ascii_words))), whole)
-    word = F.get(F.filter(longest(words), lambda p: F.array_contains(held, p["word"])), F.lit(0))
-    return F.coalesce(phrase["code"], word["code"])
+
+    def named(low: Column) -> Column:
+        phrase = F.get(F.filter(longest(phrases), lambda p: low.contains(p["word"])), F.lit(0))
+        runs, whole = (F.regexp_extract_all(low, F.lit(kind), F.lit(1)) for kind in (r"([a-z0-9_]+)", r"([\p{L}\p{N}_]+)"))
+        held = F.array_union(F.filter(runs, lambda w: w.isin(*sorted(ascii_words))), whole)
+        # The question's words are read once, not for every word of the table.
+        word = let(held, lambda h: F.get(F.filter(longest(words), lambda p: F.array_contains(h, p["word"])), F.lit(0)))
+        return F.coalesce(phrase["code"], word["code"])
+
+    return let(F.lower(question), named)
 
 
 def localised(texts: Mapping[str, Mapping[str, str]], name: Column, language: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.codes import normalize_code
+from lectern.functions.text import let
 from lectern.plans.language import DEPARTMENT_WORDS
 
 # What the fields of an intent may hold.
@@ -26,18 +27,26 @@ SCHEMA = (
 def parsed(document: Column) -> Column:
     """An intent's fields from its JSON text; null where it isn't an object with fields of the right kinds."""
     strict = F.from_json(document, SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    kinds = F.try_parse_json(document)
     # Text fields must be texts: numbers would be read as their digits.
     texts = ("query_type", "department", "suitability", "department_defaulted_from", "instructor", "time_preference", "term", "original_question")
-    wrong = ~F.schema_of_variant(kinds).startswith("OBJECT")
-    for name in texts:
-        kind = F.schema_of_variant(F.try_variant_get(kinds, f"$.{name}", "variant"))
-        wrong |= F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
-    return F.when(kinds.isNotNull() & ~wrong, strict)
+
+    def right(kinds: Column) -> Column:
+        wrong = ~F.schema_of_variant(kinds).startswith("OBJECT")
+        for name in texts:
+            kind = F.schema_of_variant(F.try_variant_get(kinds, f"$.{name}", "variant"))
+            wrong |= F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
+        return kinds.isNotNull() & ~wrong
+
+    return F.when(let(F.try_parse_json(document), right), strict)
 
 
 def problem(intent: Column, departments: Sequence[str] = tuple(DEPARTMENT_WORDS)) -> Column:
     """The first rule that an intent breaks, empty if it is valid; null counts as unreadable."""
+    # Read once, not for every rule that names it.
+    return let(intent, lambda i: _problem(i, departments))
+
+
+def _problem(intent: Column, departments: Sequence[str]) -> Column:
     low = lambda name: F.lower(F.trim(intent[name]))
     listed = lambda name: F.coalesce(intent[name], F.array().cast("array<string>"))
     codes, targets = (F.transform(listed(c), normalize_code) for c in ("course_codes", "comparison_targets"))

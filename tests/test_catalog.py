@@ -220,3 +220,27 @@ def test_sections_are_shuffled_once(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in checked._jdf.queryExecution().executedPlan().toString()
     plan = queries.enriched(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and "Exchange hashpartitioning(course_uid" not in plan
+
+
+def test_costly_rows_are_dealt_by_number(spark):
+    """What is made of few bytes a row is dealt by the number of rows, not by the bytes of a file or shuffle."""
+    from lectern import record_queries  # noqa: F401  registers its queries
+    from lectern.queries import QUERIES
+
+    for name in ("department_named", "question_english", "intent_validation", "citation_extract"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4, name
+    plan = QUERIES["course_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_partkey") == 1 and "Exchange hashpartitioning(course_uid" not in plan
+
+
+def test_spans_of_a_phrase_that_fills_a_text(spark):
+    """Time in proportion to little more than the occurrences: a text with 20,000 of them took over a minute."""
+    import time
+
+    from lectern.functions import text
+
+    rows = spark.createDataFrame([(n, " The" * n) for n in (0, 1, 2, 3, 10, 99, 20_000)], "n int, t string")
+    since = time.time()
+    got = {r["n"]: r["s"] for r in rows.select("n", text.spans_of(F.col("t"), F.lit("tHE")).alias("s")).collect()}
+    assert all([tuple(x) for x in s] == [(4 * i + 1, 4 * i + 4) for i in range(n)] for n, s in got.items())
+    assert time.time() - since < 30
