@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from lectern.functions.text import span_distance
 from lectern.operators.importing import bounded_pairs
-from lectern.session import materialised
+from lectern.session import packed
 
 # How a source writes terms, section ids and points, and how far apart what belongs together may be.
 TERM = r"(?<![A-Za-z])(?:Fall|Spring|Summer|Winter)\s+\d{4}(?!\d)"
@@ -121,7 +121,8 @@ def bundle(sources: DataFrame, claims: DataFrame) -> DataFrame:
     claims gives no rows.
     """
     claims = claims.select("doc_id", F.col("section").cast("long").alias("section"), "field", squashed(F.col("value")).alias("value")).distinct()
-    found = materialised(spans(sources, claims))
+    # A checkpoint of these rows is many times the size of the texts.
+    found = packed(spans(sources, claims))
     pairs = identity_pairs(found)
     # Where the context of a place ends: at the next one, else some way on.
     following = F.lead("from").over(W.partitionBy("doc_id").orderBy("from", "to"))

@@ -117,3 +117,12 @@ def test_evidence_bundle(spark):
 def test_hulls(spark):
     rows = spark.createDataFrame([("k", 0, 4), ("k", 1, 2), ("k", 6, 8), ("k", 20, 22), ("k", 21, 30), ("j", 5, 6)], "k string, start int, stop int")
     assert sorted(tuple(r) for r in evidence.hulls(rows, "k", 2).collect()) == [("j", 5, 6, 1), ("k", 0, 8, 3), ("k", 20, 30, 2)]
+
+
+def test_evidence_keeps_packed_spans(spark):
+    """Spans are read from packed columns and not from a checkpoint, which took nine times the room."""
+    from lectern import record_queries  # noqa: F401  registers its queries
+    from lectern.queries import QUERIES
+
+    plan = QUERIES["evidence_bundle"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "said" in plan
