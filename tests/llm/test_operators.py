@@ -592,6 +592,35 @@ def test_line_blocks_meet_in_each_length_class(spark):
     assert all(v >= 0.9 for v in share.values()), share
 
 
+def test_lines_meet_at_every_place(spark):
+    """Lines that agree at places of no special hash, neither first nor last, and lines of fifteen and sixteen words meet."""
+    names = spark.range(400).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("w"))
+    words = [r["w"] for r in names.where("xxhash64(w) & 7 <> 0").orderBy("w").limit(60).collect()]
+    rows = []
+    for k, n in enumerate((24, 40)):
+        own = words[k * 20 : k * 20 + n][:n]
+        rows += [(" ".join(own)), (" ".join(["even" if i in (1, n - 2) else w for i, w in enumerate(own)]))]
+    mid = [f"term{chr(97 + i)}" for i in range(16)]
+    rows += [" ".join(mid), " ".join(mid[:7] + mid[8:])]
+    got = {(r["doc_id"], tuple(r["dropped"])) for r in lines.dropped_lines(made(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()}
+    assert got == {(1, (0,)), (3, (0,)), (5, (0,))}
+
+
+def test_blocks_are_met_in_parts_and_named_by_their_nodes(spark):
+    """Parts together give the blocks of a line, and every pair of lines that shares one, no other, shares a name of one."""
+    rng = random.Random(33)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvw") + rng.choice(("", "ox", "igen", "arrow"))
+    base = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 6, 7, 8, 9, 15, 16, 18, 20, 21, 30, 70) for _ in range(3)]
+    texts = [" ".join(w if rng.random() < 0.9 else word() for w in b) for b in base for _ in range(4)]
+    forms = lines.different(lines.occurrences(made(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))).cache()
+    every = lines.dealt_blocks(forms).select("node", "key").cache()
+    parts = [{tuple(r) for r in lines.dealt_blocks(forms, k).select("node", "key").collect()} for k in range(lines.SLICES)]
+    assert set().union(*parts) == {tuple(r) for r in every.collect()} and sum(map(len, parts)) == every.count()
+    pairs = lambda df: {tuple(r) for r in df.alias("a").join(df.alias("b"), F.expr("a.key = b.key and a.node < b.node")).select("a.node", F.col("b.node").alias("v")).distinct().collect()}
+    named, paths = lines.shared_blocks(forms)
+    assert pairs(named) == pairs(every) and len(pairs(every)) > 50 and named.count() < every.count() and len(paths) == lines.SLICES
+
+
 def test_lines_that_many_share_and_very_long_ones(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
