@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.operators import dictionary, evidence, robots
@@ -53,6 +54,24 @@ def test_robots(spark):
     assert len(other) == len(urls)
 
 
+def test_dictionary_looks_only_where_a_phrase_may_begin(spark):
+    """Of the places of a long text hardly any but those of phrases reach the join, at borders of pieces too."""
+    body = "x\U0001d7d8y" * 1000
+    places = [0, 500, dictionary.PIECE - 1, 2 * dictionary.PIECE - 5, 2950]
+    for at in places:
+        body = body[:at] + "begins here" + body[at + 11 :]
+    terms = spark.createDataFrame([("begins here",), ("Begins",), ("x!",)], "p string")
+    got = dictionary.found(spark.createDataFrame([(1, body), (1, "none")], "k long, t string"), "k", "t", terms, "p")
+    want = {(p, m.start()) for p in ("begins here", "Begins") for m in re.finditer(p.lower(), body)}
+    assert {(r["phrase"], r["start"]) for r in got.collect()} == want and got.count() == len(want)
+    heads = spark.createDataFrame([(8, "begins h"), (4, "begi"), (2, "x!")], "n int, head string").coalesce(1)
+    maps = {n: np.zeros(1 << (dictionary.BITS - 6), dtype="<i8") for n in (2, 4, 8)}
+    for r in heads.mapInPandas(dictionary.phrase_slots, "n int, word int, bits long").collect():
+        maps[r["n"]][r["word"]] |= r["bits"]
+    asked = spark.createDataFrame([(body[: dictionary.PIECE + 11],)], "t string").select(dictionary.places_of({n: m.tobytes() for n, m in maps.items()})("t").alias("a")).first()["a"]
+    assert {c >> 5 for c in asked if c & 31 == 4} >= {0, 500, dictionary.PIECE - 1} and len(asked) < 20
+
+
 def test_dictionary(spark):
     """Thousands of phrases, against finding each; words only; the first of each text."""
     rng = random.Random(3)
