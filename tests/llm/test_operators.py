@@ -432,6 +432,24 @@ def test_passages_beside_a_frequent_phrase(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(3 * k, 60 + k) for k in range(20)}
 
 
+def test_passages_of_the_similarity_always_meet():
+    """One changed, added or missing word in a passage of 50 words, two in longer ones: some place is chosen in both texts."""
+    rng, checked, powers = random.Random(23), 0, passages.Powers()
+    for trial in range(3000):
+        passage = [f"t{rng.randrange(10**6)}" for _ in range(rng.choice((51, 54, 60, 75, 100)))]
+        other = list(passage)
+        for _ in range(1 + (len(passage) > 70)):
+            at, kind = rng.randrange(len(other)), rng.randrange(3)
+            other[at : at + (kind > 0)] = [] if kind == 2 else [f"n{trial}"]
+        x, y = (passages.shingle_hashes(passages.Words([" ".join(w).encode()], punctuation=True).hashes(powers), passages.SIZE) for w in (passage, other))
+        if min(len(x), len(y)) < 46 or len(np.intersect1d(x, y)) * 9 < 4 * (len(x) + len(y)):
+            continue
+        checked += 1
+        u, v = ({k for keys, _ in passages.places_of(h, None) for k in keys.tolist()} for h in (x, y))
+        assert u & v, (trial, len(passage))
+    assert checked > 1500
+
+
 def test_compact_windows_cover_every_run():
     rng = np.random.default_rng(1)
     h = rng.permutation(300)
@@ -617,6 +635,7 @@ def test_blocks_are_met_in_parts_and_named_by_their_nodes(spark):
     parts = [{tuple(r) for r in lines.dealt_blocks(forms, k).select("node", "key").collect()} for k in range(lines.SLICES)]
     assert set().union(*parts) == {tuple(r) for r in every.collect()} and sum(map(len, parts)) == every.count()
     pairs = lambda df: {tuple(r) for r in df.alias("a").join(df.alias("b"), F.expr("a.key = b.key and a.node < b.node")).select("a.node", F.col("b.node").alias("v")).distinct().collect()}
+    assert all(0 <= k < 1 << 48 for part in parts for _, k in part)
     named, paths = lines.shared_blocks(forms)
     assert pairs(named) == pairs(every) and len(pairs(every)) > 50 and named.count() < every.count() and len(paths) == lines.SLICES
 
