@@ -640,6 +640,26 @@ def test_blocks_are_met_in_parts_and_named_by_their_nodes(spark):
     assert pairs(named) == pairs(every) and len(pairs(every)) > 50 and named.count() < every.count() and len(paths) == lines.SLICES
 
 
+def test_line_pairs_are_compared_in_parts_of_a_third_of_the_lines(spark, monkeypatch):
+    """However many pairs there are, each is compared once, in parts with no more pairs than about a third of the lines."""
+    forms = spark.range(600).select(F.col("id").alias("node"), F.concat(F.lit("one line of words number"), F.col("id").cast("string")).alias("form"))
+    near = forms.alias("a").join(forms.alias("b"), F.expr("a.node < b.node and b.node < 60")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).cache()
+    sizes, plain = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda pairs, *a: (sizes.append(pairs.count()), plain(pairs, *a))[1])
+    assert lines.verified(forms, near, 0.8).count() == 1770 == sum(sizes) and len(sizes) == 9 and max(sizes) <= 260
+    sizes.clear()
+    assert lines.verified(forms, near.limit(0), 0.8).count() == 0 and sizes == [0]
+
+
+def test_runs_of_words_are_rows_and_a_repeated_run_brings_no_line_alone(spark):
+    rows = spark.createDataFrame([(1, "a b c a b c a b".split()), (2, "x a b c".split()), (3, ["a", "b"])], "node long, w array<string>")
+    key = spark.sql("select xxhash64(5, xxhash64('a'), xxhash64('b'), xxhash64('c')) as k").first()["k"]
+    got = lines.runs(rows, 5, 3).groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("key") == key).alias("abc"))
+    assert {tuple(r) for r in got.collect()} == {(1, 6, 2), (2, 2, 1)}
+    alone = lines.different(lines.occurrences(made(spark, [(1, "red green blue red green blue red green blue", "en", "s"), (2, "nothing that it has in common", "en", "s")])))
+    assert lines.shared_blocks(alone)[0].count() == 0
+
+
 def test_lines_that_many_share_and_very_long_ones(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
