@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lectern.functions.text import squash
 from lectern.functions.web import url_path
@@ -98,8 +99,22 @@ def save_registry(registry: DataFrame, path: str) -> None:
 
 
 def snapshot_order(rows: DataFrame) -> DataFrame:
-    """Courses of a crawl by code and title; courses that agree in both by uid, so that reruns agree."""
-    return rows.orderBy("course_code", "title", "course_uid")
+    """Courses of a crawl by code and title, a missing one as an empty one; courses that agree in both by uid, so that reruns agree."""
+    return rows.orderBy(F.coalesce("course_code", F.lit("")), F.coalesce("title", F.lit("")), "course_uid")
+
+
+def snapshot_places(rows: DataFrame) -> DataFrame:
+    """All courses (course_uid) of a crawl with their place, from 1, in ``snapshot_order``.
+
+    Courses are sorted over many tasks; a course's place is that in its task's
+    part after the courses of all parts before it.
+    """
+    ordered = materialised(snapshot_order(rows.select("course_uid", "course_code", "title")).select("course_uid", F.monotonically_increasing_id().alias("at")))
+    # An id is the number of the part, then that within it in the last 33 bits.
+    ordered = ordered.select("course_uid", F.shiftright("at", 33).alias("part"), F.expr("at & ((1L << 33) - 1)").alias("at"))
+    parts = ordered.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ordered.join(F.broadcast(parts.select("part", before.alias("before"))), "part").select("course_uid", (F.col("before") + F.col("at") + 1).cast("int").alias("place"))
 
 
 def pass_counts(results: DataFrame, prefix: Column, passed: Column, seconds: Column) -> DataFrame:

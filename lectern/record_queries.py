@@ -284,10 +284,9 @@ def _(spark, d):
     return crawl.pass_counts(read(spark, d, "events"), F.col("event_type"), F.col("value") > 50, F.col("value"))
 
 
-@query("snapshot_order", "SELECT course_uid, row_number() OVER (ORDER BY course_code, title, course_uid)::int AS place FROM course QUALIFY place <= 30", True)
+@query("snapshot_order", "SELECT course_uid, row_number() OVER (ORDER BY course_code, title, course_uid)::int AS place FROM course", True)
 def _(spark, d):
-    rows = crawl.snapshot_order(projection.courses(spark, d).select("course_uid", "course_code", "title")).limit(30)
-    return rows.select("course_uid", F.row_number().over(W.orderBy("course_code", "title", "course_uid")).alias("place"))
+    return crawl.snapshot_places(projection.courses(spark, d))
 
 
 @query("effective_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus, o_orderkey)::int AS place FROM orders QUALIFY place <= 25")

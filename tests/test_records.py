@@ -84,3 +84,16 @@ def test_snapshot_order_of_equal_codes_and_titles(spark):
     # An order given before isn't kept by a sort of all rows.
     got = snapshot_order(spark.createDataFrame(rows, "course_uid string, course_code string, title string").repartition(7)).limit(30)
     assert [r["course_uid"] for r in got.collect()] == [f"{i:03d}" for i in range(30)]
+
+
+def test_snapshot_places_of_all_courses(spark):
+    from __spark_entry__ import queries
+    from lectern.operators.crawl import snapshot_places
+
+    rows = [(f"{i * 7919 % 1000:03d}", None if i % 3 == 0 else "" if i % 3 == 1 else f"A {i % 7}", None if i % 5 == 0 else f"T {i % 4}") for i in range(1000)]
+    got = snapshot_places(spark.createDataFrame(rows, "course_uid string, course_code string, title string").repartition(7))
+    wanted = sorted(rows, key=lambda r: (r[1] or "", r[2] or "", r[0]))
+    assert {r["course_uid"]: r["place"] for r in got.collect()} == {r[0]: i + 1 for i, r in enumerate(wanted)}
+    # The query places every course, not the first thirty.
+    d = "/root/testdata/sf0.001"
+    assert queries()["snapshot_order"](spark, d).count() == spark.read.parquet(f"{d}/part.parquet").count() > 30
