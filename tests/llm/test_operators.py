@@ -432,6 +432,22 @@ def test_passages_beside_a_frequent_phrase(spark):
     assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(3 * k, 60 + k) for k in range(20)}
 
 
+def test_passages_link_every_two_texts(spark, monkeypatch):
+    """Of texts that share a passage all pairs are links, not only those with one of them; in small cells and parts as well."""
+    rng = random.Random(29)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    shared = text(60)
+    rows = [(i, " ".join(text(70) + shared + text(70)), "en", "s") for i in range(25)]
+    rows += [(30 + i, "la " * (80 + i), "en", "s") for i in range(3)] + [(40, rows[3][1], "en", "s")]
+    wanted = {(j, i) for i in range(25) for j in range(i)} | {(30, 31), (30, 32), (31, 32)}
+    for few, cell, pairs in ((passages.FEW, passages.CELL, passages.PAIRS), (2, 10, 2000)):
+        for name, value in (("FEW", few), ("CELL", cell), ("PAIRS", pairs)):
+            monkeypatch.setattr(passages, name, value)
+        found = [r for r in passages.repeated_passages(made(spark, rows)).collect() if r["kind"] == "passage"]
+        assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == wanted
+        assert sum(max(r["doc_id"], r["other_id"]) < 30 for r in found) == 300
+
+
 def test_passages_of_the_similarity_always_meet():
     """One changed, added or missing word in a passage of 50 words, two in longer ones: some place is chosen in both texts."""
     rng, checked, powers = random.Random(23), 0, passages.Powers()
