@@ -592,6 +592,27 @@ def test_lines_of_all_lengths_are_compared_in_characters(spark):
     assert {tuple(r) for r in lines.similar(df, named, 0.8).collect()} == want and 10 < len(want) < 25
 
 
+def test_very_long_lines_are_compared_in_characters(spark):
+    """A line of 30,000 characters in which half of the words differ, by one letter of many each, is similar; one in which a few words differ as a whole may not be."""
+    rng = random.Random(31)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert [lines.within(a, b, n) for n in range(35)] == [n >= row[-1] for n in range(35)]
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(3000)]
+    edited = [f"x{w[1:]}" if k % 2 else w for k, w in enumerate(words)]
+    # 15 % of the words are others, of ten times the length.
+    longer = ["y" * 90 if k % 7 == 3 else w for k, w in enumerate(words)]
+    forms = [words, ["put", *edited], ["put", *longer]]
+    named = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(forms)], "node long, form string")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "u long, v long")
+    assert [tuple(r) for r in lines.similar(pairs, named, 0.8).collect()] == [(0, 1)]
+
+
 def test_line_blocks_meet_in_each_length_class(spark):
     """Of similar pairs, made of random edits of letters and words, nine in ten or more share a block and pass the fingerprint, in every class of lengths."""
     rng = random.Random(21)
