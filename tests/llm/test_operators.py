@@ -613,6 +613,29 @@ def test_very_long_lines_are_compared_in_characters(spark):
     assert [tuple(r) for r in lines.similar(pairs, named, 0.8).collect()] == [(0, 1)]
 
 
+def test_short_lines_meet(spark):
+    """Lines of one word are compared, all similar ones of up to 14 characters and of one word share a block, and lines with two edited words do."""
+    rng = random.Random(41)
+    edited = lambda x, n: x if not n else edited("".join([x[: (at := rng.randrange(len(x)))], rng.choice(["", "q", f"q{x[at]}"]), x[at + 1 :]]), n - 1)
+    small = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(4, 15))) for _ in range(150)]
+    long = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(15, 60))) for _ in range(60)]
+    texts = small + [edited(x, rng.randrange(1, 3)) for x in small] + long + [edited(x, int(0.2 * len(x))) for x in long]
+    docs = made(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    found = lines.occurrences(docs).cache()
+    forms = {r["node"]: r["form"] for r in found.collect()}
+    forms = {k: v for k, v in forms.items() if len(v) <= 14 or " " not in v}
+    pairs = spark.createDataFrame([(u, v) for u in forms for v in forms if u < v and abs(len(forms[u]) - len(forms[v])) <= 12 and max(len(forms[u]), len(forms[v])) >= 4], "u long, v long")
+    wanted = {tuple(r) for r in lines.similar(pairs, found.select("node", "form").distinct(), 0.8).collect()}
+    # One of up to 14 characters and a longer one of several words needn't meet.
+    keys = lines.dealt_blocks(found).select("node", "key").distinct()
+    met = {tuple(r) for r in keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))).select("a.node", "b.node").distinct().collect()}
+    lost = [(forms[u], forms[v]) for u, v in wanted - met if max(len(forms[u]), len(forms[v])) <= 14 or " " not in forms[u] + forms[v]]
+    assert len(wanted) > 150 and not lost, lost
+    rows = ["internationalization", "internationalisation", "colours", "colors", "hello wonderful beautiful people here", "hallo wonderful beautyful people here", "Düsseldorf", "Dusseldorf"]
+    got = {(r["doc_id"], tuple(r["dropped"])) for r in lines.dropped_lines(made(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])).collect()}
+    assert got == {(1, (0,)), (3, (0,)), (5, (0,)), (7, (0,))}
+
+
 def test_line_blocks_meet_in_each_length_class(spark):
     """Of similar pairs, made of random edits of letters and words, nine in ten or more share a block and pass the fingerprint, in every class of lengths."""
     rng = random.Random(21)
