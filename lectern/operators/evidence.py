@@ -34,7 +34,7 @@ MOST_POINTS = 30.0
 CELL = re.compile(r"(\d+(?:\.\d+)?)(?:\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?))?(?:\s*(?:points?|credits?|pts?))?", re.I)
 #: Numbers in words that stand for points.
 WORDS = {w: float(n) for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}
-SPANS = "array<struct<kind:string,section:long,field:string,value:string,start:int,stop:int,said:string>>"
+SPANS = {"kind": "string", "section": "long", "field": "string", "value": "string", "start": "int", "stop": "int", "said": "string"}
 SPACE = re.compile(r"\s+")
 
 
@@ -57,28 +57,39 @@ def occurrences(source: str, value: str) -> Iterator[tuple[int, int]]:
         yield met.span()
 
 
-def number_spans(source: str, value: str) -> Iterator[tuple[int, int]]:
-    """Places of points that are the same numbers as ``value``."""
+SPELLED = re.compile(r"(?<![A-Za-z0-9])((?:" + "|".join(WORDS) + r")\s+(?:points?|credits?|pts?))(?![A-Za-z0-9])", re.I)
+TERMS, SECTION_IDS, NUMBERS = re.compile(TERM, re.I), re.compile(SECTION_ID), re.compile(POINTS, re.I)
+
+
+def numbers_said(source: str) -> list[tuple[int, int, tuple[float, float]]]:
+    """Places of a text that say points, and what they say."""
+    found = sorted(m.span(1) for pattern in (NUMBERS, SPELLED) for m in pattern.finditer(source))
+    return [(a, b, said) for a, b in found if (said := points_of(source[a:b]))]
+
+
+def number_spans(source: str, value: str, said: list | None = None) -> Iterator[tuple[int, int]]:
+    """Places of points that are the same numbers as ``value``; ``said`` is what the text says, if it is known."""
     wanted = points_of(value)
-    if wanted is None:
-        return
-    spelled = r"(?<![A-Za-z0-9])((?:" + "|".join(WORDS) + r")\s+(?:points?|credits?|pts?))(?![A-Za-z0-9])"
-    found = [m.span(1) for pattern in (POINTS, spelled) for m in re.finditer(pattern, source, re.I)]
-    yield from sorted((a, b) for a, b in found if (said := points_of(source[a:b])) and abs(said[0] - wanted[0]) <= 1e-9 and abs(said[1] - wanted[1]) <= 1e-9)
-
-
-def spans_of_claims(sources: pd.Series, claims: pd.Series) -> pd.Series:
-    """Of squashed texts and their claims: places of patterns and of claimed values."""
-    out = []
-    for source, asked in zip(sources, claims, strict=True):
-        found = [("term", None, None, None, *m.span()) for m in re.finditer(TERM, source, re.I)]
-        found += [("section_id", None, None, None, *m.span()) for m in re.finditer(SECTION_ID, source)]
-        for c in asked if asked is not None else ():
-            places = number_spans if c["field"] == "points" else occurrences
-            found += [("claim", c["section"], c["field"], c["value"], a, b) for a, b in places(source, c["value"])]
-        names = ("kind", "section", "field", "value", "start", "stop", "said")
-        out.append([dict(zip(names, (*f, source[f[-2] : f[-1]].lower()), strict=True)) for f in found])
-    return pd.Series(out, dtype=object)
+    if wanted is not None:
+        yield from ((a, b) for a, b, n in (numbers_said(source) if said is None else said) if abs(n[0] - wanted[0]) <= 1e-9 and abs(n[1] - wanted[1]) <= 1e-9)
+
+
+def spans_of_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, source, asked) of squashed texts and their claims to one row for each place of patterns and of claimed values."""
+    for batch in batches:
+        out = []
+        for doc, source, asked in zip(batch["doc_id"], batch["source"], batch["asked"], strict=True):
+            found = [("term", None, None, None, *m.span()) for m in TERMS.finditer(source)]
+            found += [("section_id", None, None, None, *m.span()) for m in SECTION_IDS.finditer(source)]
+            said = None
+            for c in asked if asked is not None else ():
+                if c["field"] == "points" and said is None:
+                    said = numbers_said(source)
+                places = number_spans(source, c["value"], said) if c["field"] == "points" else occurrences(source, c["value"])
+                found += [("claim", c["section"], c["field"], c["value"], a, b) for a, b in places]
+            out += [(doc, *f, source[f[-2] : f[-1]].lower()) for f in found]
+        rows = pd.DataFrame(out, columns=["doc_id", *SPANS])
+        yield rows.astype({"section": "Int64"})
 
 
 def squashed(text: Column) -> Column:
@@ -89,7 +100,8 @@ def spans(sources: DataFrame, claims: DataFrame) -> DataFrame:
     """doc_id and one place each: kind (term, section_id, claim), section, field, value, start, stop and what is said there in lower case."""
     asked = claims.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("section").cast("long").alias("section"), "field", squashed(F.col("value")).alias("value"))).alias("asked"))
     rows = sources.select("doc_id", squashed(F.col("text")).alias("source")).join(asked, "doc_id")
-    return rows.withColumn("s", F.explode_outer(F.pandas_udf(spans_of_claims, SPANS)("source", "asked"))).select("doc_id", "s.*")
+    kind = ", ".join(f"{name} {of}" for name, of in SPANS.items())
+    return rows.select("doc_id", "source", "asked").mapInPandas(spans_of_claims, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kind}")
 
 
 def hulls(rows: DataFrame, key: str, gap: int) -> DataFrame:

@@ -133,6 +133,19 @@ def test_evidence_bundle(spark):
     assert all(r["quote"] in flat and (r["quote"] != "") == r["verified"] for r in rows)
 
 
+def test_points_of_a_text_are_read_once(monkeypatch):
+    import pandas as pd
+
+    from lectern.operators import evidence
+
+    read, real = [], evidence.numbers_said
+    monkeypatch.setattr(evidence, "numbers_said", lambda source: read.append(source) or real(source))
+    asked = [{"section": n, "field": "points", "value": f"{n}.0"} for n in range(1, 5)]
+    texts = pd.DataFrame({"doc_id": [7, 8], "source": ["Fall 2025 001/111 3 points, 4 credits", ""], "asked": [asked, None]})
+    rows = pd.concat(evidence.spans_of_claims(iter([texts])))
+    assert len(read) == 1 and rows[rows["kind"] == "claim"][["doc_id", "value", "said"]].values.tolist() == [[7, "3.0", "3 points"], [7, "4.0", "4 credits"]]
+
+
 def test_hulls(spark):
     rows = spark.createDataFrame([("k", 0, 4), ("k", 1, 2), ("k", 6, 8), ("k", 20, 22), ("k", 21, 30), ("j", 5, 6)], "k string, start int, stop int")
     assert sorted(tuple(r) for r in evidence.hulls(rows, "k", 2).collect()) == [("j", 5, 6, 1), ("k", 0, 8, 3), ("k", 20, 30, 2)]
